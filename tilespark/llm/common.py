@@ -45,7 +45,8 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], salts: int, sa
 
     Rows are cut into `salts` slices by a hash of `salt_on`; slice sizes are
     pre-aggregated, their running sum (at most groups x salts rows) gives each
-    slice its first rank, and a window ranks the rows within a slice.
+    slice its first rank, and a window ranks the rows within a slice. The group
+    columns must not be null.
     """
     df = df.withColumn("_slice", salt(salts, *salt_on))
     sizes = df.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"))
@@ -53,7 +54,5 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], salts: int, sa
     first = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inner = Window.partitionBy(*groups, "_slice").orderBy(*order)
     rows = df.withColumn("_within", F.row_number().over(inner) - 1)
-    # The slice keys are never null, so that group columns that may be null join null-safely beside them.
-    on = [rows["_slice"] == first["_slice"], *(rows[g].eqNullSafe(first[g]) for g in groups)]
-    kept = [rows[c] for c in rows.columns if c not in ("_slice", "_within")]
-    return rows.join(first, on).select(*kept, (rows["_within"] + first["_first"]).cast("long").alias(name))
+    keys = [*groups, "_slice"]
+    return rows.join(first, keys).withColumn(name, (F.col("_within") + F.col("_first")).cast("long")).drop("_slice", "_within", "_first")

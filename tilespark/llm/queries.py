@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_digest
 from .exact_dedup import exact_dedup
 from .mixing import mix_digest
+from .packing import pack
+from .token_files import read_digests, write_token_files
+from .tokens import default_tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +22,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_digests(write_token_files(_table(spark, sf_dir, "documents"), default_tokenizer()))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -26,13 +33,19 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(turns.unionByName(own)).drop("valid")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), default_tokenizer())
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
+    "op6_token_files": op6_token_files,
     "op8_chat_format": op8_chat_format,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
