@@ -56,3 +56,44 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], salts: int, sa
     rows = df.withColumn("_within", F.row_number().over(inner) - 1)
     keys = [*groups, "_slice"]
     return rows.join(first, keys).withColumn(name, (F.col("_within") + F.col("_first")).cast("long")).drop("_slice", "_within", "_first")
+
+
+def keep_rows(docs: DataFrame, flags: DataFrame) -> DataFrame:
+    """The rows of docs that stay, by flags (doc_id, text_md5, kept) with one row per row of docs.
+
+    A doc_id of one row decides by an anti-join. Rows that share a doc_id, or have
+    none, are told apart by their text, and those equal in that too by a number.
+    """
+    flags = materialize(flags.select("doc_id", "text_md5", "kept"), "flags")
+    ids = flags.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept"))
+    dropped = ids.where("n = 1 and doc_id is not null and not kept").select(F.col("doc_id").alias("_id"))
+    shared = materialize(ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "shared")
+    out = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
+    if shared.isEmpty():
+        return out
+    same = docs["doc_id"].eqNullSafe(F.col("_id"))
+    twins = docs.join(shared, same, "left_semi").withColumn("_md5", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    twins = twins.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_md5").orderBy(F.lit(0))))
+    stay = flags.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_keep")).agg(F.count(F.lit(1)).alias("_most"))
+    twins = twins.join(stay, twins["doc_id"].eqNullSafe(stay["_id"]) & (F.col("_md5") == F.col("_keep")) & (F.col("_n") <= F.col("_most")), "left_semi")
+    return out.join(shared, out["doc_id"].eqNullSafe(F.col("_id")), "left_anti").unionByName(twins.drop("_md5", "_n"))
+
+
+def connected_components(edges: DataFrame, name: str) -> DataFrame:
+    """(id, component) of every end of the edges (a, b); a component is its smallest id.
+
+    Labels fall to the least among the neighbours' and then to their label's
+    label, until a round changes none; rounds are stored tables.
+    """
+    edges = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
+    labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    labels = materialize(labels.select("id", F.least("id", "component").alias("component")), f"{name}-labels")
+    while True:
+        near = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        lower = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("to"))
+        up = labels.select(F.col("id").alias("to"), F.col("component").alias("top"))
+        step = lower.join(up, "to").select("id", F.least("to", "top").alias("now"), "component")
+        step = materialize(step, f"{name}-labels")
+        labels = step.select("id", F.col("now").alias("component"))
+        if step.where("now <> component").isEmpty():
+            return labels

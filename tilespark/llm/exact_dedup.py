@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, materialize, salt
+from .common import SPACE_BYTES, keep_rows, materialize, salt
 
 #: Fingerprints that one merging task holds, about; the number of cuts follows from it.
 FINGERPRINTS_PER_CUT = 1 << 20
@@ -125,8 +125,9 @@ def _fingerprint(digest: bytes) -> int:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         digests = [hashlib.sha256(x).digest() for x in _normalised(b["text"])]
+        raw = [hashlib.md5(x or b"").hexdigest() for x in b["text"].cast(pa.binary()).to_pylist()]
         points = pc.fill_null(pc.utf8_length(b["text"]), 0).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([b["doc_id"], points, pa.array([_fingerprint(d) for d in digests], pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_points", "fp", "sha"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], points, pa.array([_fingerprint(d) for d in digests], pa.int64()), pa.array(digests, pa.binary()), pa.array(raw)], ["doc_id", "n_points", "fp", "sha", "text_md5"])
 
 
 def _build_filters(cut_bits: int):
@@ -171,7 +172,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A row (row_id, doc_id, n_points, fp, sha) per document, and a row per verified group of two or more."""
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = table.mapInArrow(_digests, "doc_id long, n_points long, fp long, sha binary")
+    rows = table.mapInArrow(_digests, "doc_id long, n_points long, fp long, sha binary, text_md5 string")
     rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "exact-rows")
     repeated = materialize(repeated_fingerprints(rows).select("fp"), "exact-fingerprints")
     few = repeated.count() <= BROADCAST_FINGERPRINTS
@@ -206,19 +207,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without their exact copies, in docs' own columns; one row of each group stays."""
     rows, groups = _groups(docs)
-    flags = rows.join(groups, "sha", "left").select("doc_id", "sha", (F.coalesce("keep_row", F.col("row_id")) == F.col("row_id")).alias("kept"))
-    flags = materialize(flags, "exact-flags")
-    ids = flags.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"))
-    dropped = ids.where("n = 1 and doc_id is not null and not kept").select(F.col("doc_id").alias("_id"))
-    shared = materialize(ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "exact-shared")
-    out = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
-    if shared.isEmpty():
-        return out
-    # Ids that several rows share: the text tells the rows apart, and a number those that agree in it too.
-    same = docs["doc_id"].eqNullSafe(F.col("_id"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    twins = docs.join(shared, same, "left_semi").withColumn("_sha", F.unhex(F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""), 256)))
-    twins = twins.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(F.length(text).desc())))
-    stay = flags.where("kept").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_keep"))
-    twins = twins.where("_n = 1").join(stay, same & (F.col("_sha") == F.col("_keep")), "left_semi").drop("_sha", "_n")
-    return out.join(shared, same, "left_anti").unionByName(twins)
+    kept = F.coalesce("keep_row", F.col("row_id")) == F.col("row_id")
+    return keep_rows(docs, rows.join(groups, "sha", "left").select("doc_id", "text_md5", kept.alias("kept")))

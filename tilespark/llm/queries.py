@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_digest
 from .exact_dedup import exact_dedup
 from .mixing import mix_digest
+from .ngram_join import jaccard_join
 from .packing import pack
 from .token_files import read_digests, write_token_files
 from .tokens import default_tokenizer
@@ -22,6 +23,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(write_token_files(_table(spark, sf_dir, "documents"), default_tokenizer()))
 
@@ -43,6 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
+    "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,
     "op8_chat_format": op8_chat_format,
     "op9_best_fit_packing": op9_best_fit_packing,
