@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix_digest
 from .ngram_join import jaccard_join
 from .packing import pack
+from .sharding import shard_documents
 from .token_files import read_digests, write_token_files
 from .tokens import default_tokenizer
 
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents")).drop("text_sha256")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,
