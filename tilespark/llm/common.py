@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +98,14 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         labels = step.select("id", F.col("now").alias("component"))
         if step.where("now <> component").isEmpty():
             return labels
+
+
+def least_reached(ids: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric link matrix the least id that links reach from it."""
+    least = ids.copy()
+    while True:
+        near = np.where(links, least[None, :], np.iinfo(np.int64).max).min(axis=1)
+        now = np.minimum(least, near)
+        if (now == least).all():
+            return now
+        least = now

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, connected_components, keep_rows, materialize
+from .common import SPACE_BYTES, connected_components, keep_rows, least_reached, materialize
 
 #: Candidate rows (40 bytes each) up to which they are sent to the scan; beyond it the texts are shuffled to them.
 BROADCAST_CANDIDATES = 1 << 19
@@ -180,17 +180,6 @@ def linked(lo: list[np.ndarray], hi: list[np.ndarray], threshold: float) -> np.n
     return common >= threshold * union - 1e-9
 
 
-def _spanning(ids: np.ndarray, links: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric link matrix the least id that links reach from it."""
-    least = ids.copy()
-    while True:
-        near = np.where(links, least[None, :], np.iinfo(np.int64).max).min(axis=1)
-        now = np.minimum(least, near)
-        if (now == least).all():
-            return now
-        least = now
-
-
 def _verify(threshold: float):
     def verify(table: pa.Table) -> pa.Table:
         block = table["block"].to_numpy()
@@ -205,7 +194,7 @@ def _verify(threshold: float):
         links |= links.T
         np.fill_diagonal(links, False)
         counts = links @ copies.astype(np.float64)
-        return pa.table({"rep": reps, "n": counts.astype(np.int64), "to": _spanning(reps, links)})
+        return pa.table({"rep": reps, "n": counts.astype(np.int64), "to": least_reached(reps, links)})
 
     return verify
 
