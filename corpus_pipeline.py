@@ -1,6 +1,61 @@
-"""A training corpus from documents, stage by stage."""
+"""A training corpus from raw documents: toxicity, exact dedup, near-dup join, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and reread as the next one's docs. All but the last return docs' own
+columns. Null texts count as empty, repeated rows are rows of their own.
+"""
+
 from __future__ import annotations
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tilespark.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from tilespark.llm.common import materialize
+from tilespark.llm.tokens import default_tokenizer
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text the ordinal regression, fitted on the labels among docs, takes for toxic go."""
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.reject_toxic(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space one row stays."""
+    return exact_dedup.keep_one(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by a Jaccard similarity of 0.8 over shingles of five words one row stays."""
+    return ngram_join.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as its source's rate takes it."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with the place of each in its sequence."""
+    return packing.pack(docs, default_tokenizer())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: The toxicity and n-gram stages are not expressible in SQL; tests hold the stages against brute force instead.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
