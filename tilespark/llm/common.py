@@ -67,17 +67,17 @@ def keep_rows(docs: DataFrame, flags: DataFrame) -> DataFrame:
     """
     flags = materialize(flags.select("doc_id", "text_md5", "kept"), "flags")
     ids = flags.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept"))
-    dropped = ids.where("n = 1 and doc_id is not null and not kept").select(F.col("doc_id").alias("_id"))
-    shared = materialize(ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "shared")
-    out = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
+    dropped = ids.where("n = 1 and doc_id is not null and not kept").select(F.col("doc_id").alias("__keep_id"))
+    shared = materialize(ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__keep_id")), "shared")
+    out = docs.join(dropped, docs["doc_id"] == F.col("__keep_id"), "left_anti")
     if shared.isEmpty():
         return out
-    same = docs["doc_id"].eqNullSafe(F.col("_id"))
-    twins = docs.join(shared, same, "left_semi").withColumn("_md5", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    twins = twins.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_md5").orderBy(F.lit(0))))
-    stay = flags.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_keep")).agg(F.count(F.lit(1)).alias("_most"))
-    twins = twins.join(stay, twins["doc_id"].eqNullSafe(stay["_id"]) & (F.col("_md5") == F.col("_keep")) & (F.col("_n") <= F.col("_most")), "left_semi")
-    return out.join(shared, out["doc_id"].eqNullSafe(F.col("_id")), "left_anti").unionByName(twins.drop("_md5", "_n"))
+    same = docs["doc_id"].eqNullSafe(F.col("__keep_id"))
+    twins = docs.join(shared, same, "left_semi").withColumn("__keep_md5", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    twins = twins.withColumn("__keep_n", F.row_number().over(Window.partitionBy("doc_id", "__keep_md5").orderBy(F.lit(0))))
+    stay = flags.where("kept").groupBy(F.col("doc_id").alias("__keep_id"), F.col("text_md5").alias("__keep_text")).agg(F.count(F.lit(1)).alias("__keep_most"))
+    twins = twins.join(stay, twins["doc_id"].eqNullSafe(stay["__keep_id"]) & (F.col("__keep_md5") == F.col("__keep_text")) & (F.col("__keep_n") <= F.col("__keep_most")), "left_semi")
+    return out.join(shared, out["doc_id"].eqNullSafe(F.col("__keep_id")), "left_anti").unionByName(twins.drop("__keep_md5", "__keep_n"))
 
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:

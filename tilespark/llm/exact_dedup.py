@@ -109,7 +109,7 @@ class CountingQuotientFilter:
         occupied = np.unpackbits(take(((1 << q) + 7) // 8), count=1 << q).astype(bool)
         runend = np.unpackbits(take((n + 7) // 8), count=n).astype(bool)
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, : (r + 7) // 8] = take(n * ((r + 7) // 8)).reshape(n, -1)
+        wide[:, : (r + 7) // 8] = take(n * ((r + 7) // 8)).reshape(n, (r + 7) // 8)
         many = take(8 * m).view("<i8")
         return cls(q, r, occupied, runend, wide.reshape(-1).view("<u8").astype(np.uint64), many, take(8 * m).view("<i8"))
 
