@@ -115,9 +115,8 @@ def vector(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(x: np.ndarray, grades: np.ndarray, ridge: float = 1e-5, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of a cumulative-link model by Adam on the penalised likelihood; grades 0 to GRADES, either side of 1 weighs the same."""
+    """Weights and thresholds of a cumulative-link model by Adam on the penalised likelihood; grades 0 to GRADES."""
     n, d = x.shape
-    side = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum()))
     # t_1, then the logarithms of the steps between thresholds.
     p = np.zeros(d + GRADES)
     p[d] = 1.0
@@ -133,7 +132,7 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, ridge: float = 1e-5, rounds:
         hi, lo = up[rows, grades], up[rows, grades + 1]
         own = np.maximum(hi - lo, 1e-12)
         slope = up * (1 - up)
-        d_hi, d_lo = slope[rows, grades] / own * side, slope[rows, grades + 1] / own * side
+        d_hi, d_lo = slope[rows, grades] / own / n, slope[rows, grades + 1] / own / n
         g_score = -(d_hi - d_lo)
         g_t = np.zeros(GRADES + 2)
         np.add.at(g_t, grades, d_hi)
