@@ -18,6 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
+#: Sources up to which their targets are sent to the documents (about 100 bytes each); beyond it both are shuffled.
+BROADCAST_SOURCES = 1 << 17
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,7 +83,9 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
     """docs with size, source_size, target and n_copies beside its columns."""
     sized = docs.withColumn("size", size_of())
     targets = source_targets(docs.select("source", size_of().alias("size")), weights, max_repeats)
-    targets = targets.withColumnRenamed("source", "_source")
+    targets = materialize(targets.withColumnRenamed("source", "_source"), "mix-targets")
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).drop("_source")
     return joined.withColumn("n_copies", copies(rate, seed))
