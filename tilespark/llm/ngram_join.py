@@ -137,14 +137,21 @@ def _signatures(forest: Forest):
 
 
 def _candidate_edges(sets: DataFrame, forest: Forest) -> DataFrame:
-    """Edges (a, b) from each set to the first one of every trie node at the matched depth that they share."""
+    """Edges (a, b) that connect all sets of each trie node at the matched depth.
+
+    A set is linked to the least of the first sets ("hubs") of its nodes, and its
+    other hubs to that one too. Sets of one group share their hubs, so these
+    edges are hardly more than the sets, where one per tree would be many times as many.
+    """
     depth = forest.matched_depth()
     tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1)))
     rows = sets.select("rep", "signature", tree.alias("tree"))
     prefix = F.substring(F.col("signature"), F.col("tree") * (2 * forest.depth) + 1, F.lit(2 * depth))
     nodes = rows.select("rep", F.xxhash64("tree", prefix).alias("node"))
     hubs = nodes.groupBy("node").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("node", "hub")
-    return nodes.join(hubs, "node").where("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = nodes.join(hubs, "node").where("rep > hub").groupBy("rep").agg(F.min("hub").alias("b"), F.collect_set("hub").alias("hubs"))
+    ends = F.explode(F.concat(F.array("rep"), F.filter("hubs", lambda h: h != F.col("b"))))
+    return stars.select(ends.alias("a"), "b").distinct()
 
 
 def _shingle_rows(n: int):
