@@ -11,14 +11,19 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import filterfalse
 
 import numpy as np
 
 END_ID = 0
-#: Words that one worker remembers; beyond it the memory starts afresh. About 120 bytes each.
-REMEMBERED = 1 << 20
+#: Words that one worker remembers; beyond it the memory starts afresh. About 220 bytes each.
+REMEMBERED = 1 << 19
+#: Characters whose words are held at once, about; a longer text is held alone.
+AT_ONCE = 1 << 21
 
 _CUT = re.compile(r" (?=\S)")
+#: Letters, marks; and perhaps a line break, letters, marks.
+_PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)(?:\n([^\W\d_]+)([!-/:-@\[-`{-~]*))?")
 #: A space beside other white space: there the split by single spaces does not hold.
 _BESIDE = re.compile(r" \s")
 
@@ -34,6 +39,17 @@ class WordEncoder:
         self._ids: dict[str, bytes] = {}
         #: Little-endian unsigned ids, as narrow as the vocabulary allows.
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        #: The same model without the cutting before it, how it spells bytes, and the bytes of each id.
+        self._model = Tokenizer(self._tokenizer.model)
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = (b for b in range(256) if b not in plain)
+        self._spelling = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+        vocabulary = self._tokenizer.get_vocab()
+        self._lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self._lengths[i] = len(token)
+        self._bare: dict[str, bytes] = {}
+        self._marks = {"": b"", "\n": self._whole(["\n"])[0]}
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -42,24 +58,82 @@ class WordEncoder:
             return text.split(" ")
         return _CUT.split(text)
 
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of " " + word.
+
+        A word of letters, with ASCII marks after it, and the same once more after a
+        line break: such a word's pieces are plain, so the model alone can merge
+        them, and letters that were seen with other marks are known already.
+        """
+        known, bare, marks = self._ids, self._bare, self._marks
+        letters = [w for w in words if w.isalpha()]
+        plain, lines, mixed = [], [], []
+        for w in words.difference(letters):
+            m = _PLAIN.fullmatch(w)
+            if m is None or not m[1].isalpha():
+                mixed.append(w)
+            elif m[3] is None:
+                plain.append((w, m[1], m[2]))
+            elif m[3].isalpha():
+                lines.append((w, m[1], m[2], m[3], m[4]))
+            else:
+                mixed.append(w)
+        stems = {x[1] for x in plain}
+        stems.update([x[1] for x in lines])
+        self._merge(known, letters, "\u0120")
+        self._merge(known, [x for x in stems if x not in known], "\u0120")
+        self._merge(bare, [x for x in {x[3] for x in lines} if x not in bare], "")
+        runs = [x for x in {x[2] for x in plain} | {x[2] for x in lines} | {x[4] for x in lines} if x not in marks]
+        marks.update(zip(runs, self._whole(runs)))
+        line = marks["\n"]
+        known.update([(w, known[stem] + marks[run]) for w, stem, run in plain])
+        known.update([(w, known[stem] + marks[run] + line + bare[head] + marks[last]) for w, stem, run, head, last in lines])
+        for i in range(0, len(mixed), 4096):
+            part = mixed[i : i + 4096]
+            known.update(zip(part, self._whole([" " + w for w in part])))
+
+    def _merge(self, into: dict[str, bytes], words: list[str], before: str) -> None:
+        """The ids of words of letters, by the model alone."""
+        spelling, size = self._spelling, self.dtype.itemsize
+        for i in range(0, len(words), 1024):
+            part = words[i : i + 1024]
+            spelled = [before + w if w.isascii() else before + w.encode().decode("latin-1").translate(spelling) for w in part]
+            ids = np.array(self._model.encode(spelled, is_pretokenized=True, add_special_tokens=False).ids, self.dtype)
+            # Byte lengths tell which ids are whose.
+            ends = np.searchsorted(np.cumsum(self._lengths[ids]), np.cumsum([len(x) for x in spelled])) + 1
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, (ends * size).tolist()):
+                into[w] = data[at:end]
+                at = end
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of `dtype`."""
+        """The ids of each text, as bytes of `dtype`. Texts are split a few at a time, since words take far more memory."""
+        out: list[bytes] = []
+        first, size = 0, 0
+        for i, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= AT_ONCE or i == len(texts):
+                out += self._encode(texts[first:i])
+                first, size = i, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [self._words(t) for t in texts]
-        heads = [w[0] for w in split]
+        heads = self._whole([words.pop(0) for words in split])
         known = self._ids
         new: set[str] = set()
         for words in split:
-            new.update(w for w in words[1:] if w not in known)
-        if len(known) + len(new) > self._remembered:
-            known.clear()
-            new = {w for words in split for w in words[1:]}
-        spaced = list(new)
-        for i in range(0, len(spaced), 4096):
-            part = spaced[i : i + 4096]
-            for word, e in zip(part, self._tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False)):
-                known[word] = np.array(e.ids, self.dtype).tobytes()
-        first = [np.array(e.ids, self.dtype).tobytes() for e in self._tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
-        return [h + b"".join(map(known.__getitem__, w[1:])) for h, w in zip(first, split)]
+            new.update(filterfalse(known.__contains__, words))
+        if len(known) + len(self._bare) + len(self._marks) + len(new) > self._remembered:
+            for memory in (known, self._bare):
+                memory.clear()
+            self._marks = {x: self._marks[x] for x in ("", "\n")}
+            new = set().union(*split)
+        self._learn(new)
+        return [head + b"".join(map(known.__getitem__, words)) for head, words in zip(heads, split)]
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
