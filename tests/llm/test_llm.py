@@ -409,6 +409,25 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(frame.limit(0), model).count() == 0
 
 
+def test_toxic_words_that_clean_texts_hold_once(spark):
+    rng = random.Random(4)
+    # So many words that no text looks like a near copy of another.
+    words = ["".join(rng.choice("aeioklmnprst") for _ in range(8)) for _ in range(2000)]
+
+    def text(i):
+        # One toxic text in ten is of a second language, whose word stands once in some clean texts.
+        bad = ["bomente"] * rng.randint(3, 9) if i % 100 == 0 else ["vilest"] * 3 if i % 10 == 0 else ["bomente"] * (i % 67 == 1)
+        said = [*(rng.choice(words) for _ in range(40)), *bad]
+        rng.shuffle(said)
+        return " ".join(said)
+
+    rows = [(i, text(i), "a") for i in range(4000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(3000)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs(spark, rows), labels)
+    found = {r.doc_id: r.rejected for r in toxicity.score_toxicity(docs(spark, rows[3000:]), model).collect()}
+    assert [i for i, rejected in found.items() if rejected != (i % 10 == 0)] == []
+
+
 def test_isotonic():
     places, rates = quality.isotonic(np.arange(6.0), np.array([1, 0, 2, 1, 3, 4.0]), np.array([4, 4, 4, 4, 4, 4.0]))
     assert (np.diff(rates) > 0).all() and rates[0] == pytest.approx(1 / 8)

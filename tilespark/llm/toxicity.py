@@ -3,8 +3,11 @@
 Features are hashes of a text's words and of their beginnings, so that inflected
 forms share weight; a word is a run of letters, digits and bytes above 127, in
 lower case for ASCII. On a bounded sample of labelled rows, features are chosen
-by how they tell toxic texts from others (near copies in the sample count once). Toxic texts are graded 1 to 3 by
-how much they hold of such features, all others have grade 0.
+by how they tell toxic texts from others (near copies in the sample count once):
+by being there at all or, where that parts them better, by being repeated, as
+words are that clean texts hold now and then; such a feature counts from its
+second occurrence. Toxic texts are graded 1 to 3 by how much they hold of such
+features, all others have grade 0.
 One weight vector w serves all thresholds: P(grade >= k) = logistic(w.x - t_k),
 with t_1 < t_2 < t_3. A text's severity is its expected grade, the sum of the
 three; it is rejected where P(grade >= 1) is one half or more.
@@ -37,8 +40,10 @@ CANDIDATES, FEATURES = 1 << 16, 1024
 LEAST_TEXTS, LEAST_SHARE = 3, 0.004
 #: Added to twice the logarithm of the number of candidates: the least likelihood ratio statistic of a feature.
 EVIDENCE = 4.0
-#: A feature is so many times as frequent among toxic texts, at least.
+#: So many times as large a share of toxic texts has the feature, or repeats it, at least.
 LIFT = 8.0
+#: A feature is judged by the texts that hold it at least once, and by those that hold it at least so often.
+REPEATS = 2
 GRADES = 3
 #: Bytes of the beginnings of words.
 STEMS = (4, 5, 6, 7)
@@ -88,9 +93,10 @@ def features(text: bytes) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """`keys`: ascending feature hashes; `weights` beside them; `thresholds`: ascending, one per grade. No keys: no model."""
+    """`keys`: ascending feature hashes; `free` (occurrences that do not count) and `weights` beside them; `thresholds`: ascending, one per grade. No keys: no model."""
 
     keys: np.ndarray
+    free: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -98,7 +104,7 @@ class ToxicityModel:
         """P(grade >= k) for k from 1."""
         if not len(self.keys):
             return np.zeros(GRADES)
-        return _logistic(vector(features((text or "").encode()), self.keys) @ self.weights - self.thresholds)
+        return _logistic(vector(features((text or "").encode()), self.keys, self.free) @ self.weights - self.thresholds)
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -110,8 +116,8 @@ def counts_of(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.bincount(at[keys[at] == found], minlength=len(keys))
 
 
-def vector(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return np.log1p(counts_of(found, keys))
+def vector(found: np.ndarray, keys: np.ndarray, free: np.ndarray) -> np.ndarray:
+    return np.log1p(np.maximum(counts_of(found, keys) - free, 0))
 
 
 def fit_ordinal(x: np.ndarray, grades: np.ndarray, ridge: float = 1e-5, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
@@ -155,21 +161,26 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, n) of the texts of this partition: in how many texts each feature is."""
+    """(feature, n, repeated) of the texts of this partition: in how many texts each feature is, and is repeated."""
     for b in batches:
-        found = [np.unique(features(t or b"")) for t in b["text"].cast(pa.binary()).to_pylist()]
-        keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["feature", "n"])
+        found = [np.unique(features(t or b""), return_counts=True) for t in b["text"].cast(pa.binary()).to_pylist()]
+        every = np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.uint64)
+        often = np.concatenate([c for _, c in found]) >= REPEATS if found else np.zeros(0, bool)
+        keys, place, n = np.unique(every, return_inverse=True, return_counts=True)
+        repeated = np.bincount(place[often], minlength=len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(repeated.astype(np.int64))], ["feature", "n", "repeated"])
 
 
 def _others_with(keys: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), np.int64)
+        total, repeated = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for b in batches:
             for t in b["text"].cast(pa.binary()).to_pylist():
-                total += counts_of(features(t or b""), keys) > 0
+                c = counts_of(features(t or b""), keys)
+                total += c > 0
+                repeated += c >= REPEATS
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], ["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some]), pa.array(repeated[some])], ["feature", "n", "repeated"])
 
     return count
 
@@ -191,7 +202,7 @@ def _rows_of(keys: np.ndarray):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """From docs (doc_id, text) and labels (doc_id, toxic)."""
-    nothing = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.arange(GRADES, dtype=float))
+    nothing = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), np.arange(GRADES, dtype=float))
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*by_hash).limit(TOXIC_ROWS).union(known.where("toxic = 0").orderBy(*by_hash).limit(OTHER_ROWS))
@@ -206,38 +217,44 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     if not n_toxic or not n_other:
         return nothing
     least = max(LEAST_TEXTS, LEAST_SHARE * n_toxic)
-    common = toxic.mapInArrow(_toxic_features, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = [F.sum("n").alias("n"), F.sum("repeated").alias("repeated")]
+    schema = "feature long, n long, repeated long"
+    common = toxic.mapInArrow(_toxic_features, schema).groupBy("feature").agg(*counted).where(F.col("n") >= least)
     found = common.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
     if not found:
         return nothing
     keys = np.array([r["feature"] for r in found], np.int64).view(np.uint64)
-    in_toxic = np.array([r["n"] for r in found], float)
+    # Texts that have the feature, and texts that repeat it.
+    in_toxic = np.array([[r["n"], r["repeated"]] for r in found], float).T
     order = np.argsort(keys)
-    keys, in_toxic = keys[order], in_toxic[order]
-    in_other = np.zeros(len(keys))
-    for r in other.mapInArrow(_others_with(keys), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # at most CANDIDATES rows
-        in_other[np.searchsorted(keys, np.uint64(r["feature"] & (2**64 - 1)))] = r["n"]
-    # The likelihood ratio statistic of feature and kind.
+    keys, in_toxic = keys[order], in_toxic[:, order]
+    in_other = np.zeros((2, len(keys)))
+    for r in other.mapInArrow(_others_with(keys), schema).groupBy("feature").agg(*counted).collect():  # at most CANDIDATES rows
+        in_other[:, np.searchsorted(keys, np.uint64(r["feature"] & (2**64 - 1)))] = r["n"], r["repeated"]
+    # The likelihood ratio statistic of feature and kind, either way.
     cells = np.array([[in_toxic, n_toxic - in_toxic], [in_other, n_other - in_other]])
     expected = cells.sum(axis=1, keepdims=True) * cells.sum(axis=0, keepdims=True) / (n_toxic + n_other)
     weight = 2 * np.where(cells > 0, cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9)), 0).sum(axis=(0, 1))
     lift = (in_toxic / n_toxic) / ((in_other + 0.5) / (n_other + 1))
     # What chance alone gives the best of so many features is left out.
-    weight[(weight < 2 * np.log(len(keys)) + EVIDENCE) | (lift < LIFT)] = 0
+    weight[(weight < 2 * np.log(weight.size) + EVIDENCE) | (lift < LIFT) | (in_toxic < least)] = 0
+    free = weight.argmax(axis=0) * (REPEATS - 1)
+    weight = weight.max(axis=0)
     best = np.argsort(-weight, kind="stable")[:FEATURES]
     best = np.sort(best[weight[best] > 0])
     if not len(best):
         return nothing
-    keys = keys[best]
+    keys, free = keys[best], free[best]
     rows = sample.mapInArrow(_rows_of(keys), "toxic int, columns array<long>, counts array<long>").collect()  # the bounded sample
     x = np.zeros((len(rows), len(keys)))
     for i, r in enumerate(rows):
-        x[i, r["columns"]] = np.log1p(r["counts"])
+        at = np.array(r["columns"], np.int64)
+        x[i, at] = np.log1p(np.maximum(np.array(r["counts"], np.int64) - free[at], 0))
     kind = np.array([r["toxic"] for r in rows])
     amount = x.sum(axis=1)
     bounds = np.quantile(amount[kind == 1], np.arange(1, GRADES) / GRADES)
     grades = np.where(kind == 1, 1 + np.searchsorted(bounds, amount, "right"), 0)
-    return ToxicityModel(keys, *fit_ordinal(x, grades))
+    return ToxicityModel(keys, free, *fit_ordinal(x, grades))
 
 
 def toxicity(model: ToxicityModel, text: str = "text") -> Column:
