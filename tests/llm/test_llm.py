@@ -202,6 +202,18 @@ def test_small_groups_are_not_cut(spark):
 
 
 # ---- mixing ----
+def test_copies_follow_their_group(spark):
+    # Shards of 250: half a shard of copies, and a third of all rows, for which 9 shards do.
+    rows = [(i, "half" if i < 125 else "third" if i < 2125 else f"text {i}", "a") for i in range(6000)]
+    found = sharding.shard_documents(docs(spark, rows), shards=24)
+    in_shards = collections.defaultdict(set)
+    for r in found.where("doc_id < 2125").collect():
+        in_shards[r.doc_id < 125].add(r.shard)
+    assert len(in_shards[True]) == 1 and len(in_shards[False]) <= 9
+    cut = sharding.cut_links(found).first()
+    assert (cut.groups, cut.linked) == (2, 2125) and cut.apart <= 2000 - 240
+
+
 def test_targets(spark):
     for sizes in ({"a": 100, "b": 1, "c": 7, None: 3}, {"a": 5}, {"a": 0, "b": 0}, {f"s{i:02}": i * i for i in range(30)}):
         frame = spark.createDataFrame(list(sizes.items()), "source string, size long")

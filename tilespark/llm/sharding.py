@@ -4,9 +4,12 @@ Law: `rows`. Every shard gets the same number of documents, one more or less.
 Links join documents of equal text. A hash deals documents to shards first.
 Linked documents are taken as units: a group of copies, or, where a group is
 larger than a fraction of a shard, slices of it. Each round joins units to
-where their documents are, asks for the shard that holds most of them, and
-grants the moves that the shard's quota of linked documents still takes; what
-is refused asks for its next best shard in the following round. At last the
+where all documents of their group are by now, asks for the shard that holds
+most of them among those with room (for what is unplaced of the group, if there
+are such), and grants the moves that the shard's quota of linked documents still
+takes, large groups first. Units that have a place ask again for a shard that
+holds more of their group. Rounds end when none is granted or, all units being
+placed, when the last one lowered no cut. At last the
 shards are made equal: each ranks its documents, linked ones first, and those
 beyond its size fill the shards that have room.
 
@@ -23,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,12 +35,11 @@ from pyspark.sql import functions as F
 from .common import materialize, ranked
 
 SHARDS = 24
-ROUNDS = 3
 #: Slices that a group of copies is counted in, and the most units that it becomes.
 SLICES = 256
 #: A unit holds at most about this part of a shard.
-UNIT_PART = 1 / 8
-#: Buckets by priority in which a shard's quota is granted.
+UNIT_PART = 1 / 32
+#: Buckets by priority in which a shard's quota is granted to groups of no more than a unit; larger ones are granted one by one.
 BUCKETS = 1024
 
 
@@ -55,39 +56,85 @@ def _spread(rows: Column, shards: int) -> Column:
     return F.pmod(rows, F.lit(shards)).cast("int")
 
 
-def _grant(wishes: DataFrame, taken: dict[int, int], quota: dict[int, int]) -> dict[int, int]:
-    """The last priority bucket that each shard still takes, from (to, bucket, n) sums; taken is brought up to date."""
-    last: dict[int, int] = {}
-    full: set[int] = set()
-    for to, bucket, n in sorted((r["to"], r["bucket"], r["n"]) for r in wishes.collect()):  # at most shards x BUCKETS rows
-        if to not in full and taken[to] + n <= quota[to]:
-            taken[to] += n
-            last[to] = bucket
-        else:
-            full.add(to)
-    return last
-
-
-def _propagate(units: DataFrame, n_docs: int, shards: int, rounds: int) -> DataFrame:
-    """(unit, target) of the units that are granted a shard, from rows (unit, shard, n): how many of its documents are where."""
-    quota = {s: n_docs // shards for s in range(shards)}
-    taken: dict[int, int] = defaultdict(int)
-    places = units.groupBy("unit").agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("n").alias("here"), (-F.col("shard")).alias("least"))).alias("places"))
-    # A unit is in at most `shards` places. Its wishes are the shards by how many of its documents they hold, then all others.
-    wish = F.transform(F.sort_array("places", asc=False), lambda p: -p["least"])
-    everywhere = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.pmod(s + F.abs(F.hash("unit")) % shards, F.lit(shards)).cast("int"))
-    state = places.select("unit", "n", F.array_distinct(F.concat(wish, everywhere)).alias("wishes"), F.lit(None).cast("int").alias("target"))
-    bucket = F.pmod(F.xxhash64("unit"), F.lit(BUCKETS)).cast("int")
-    for k in range(1, rounds + 1):
-        asking = F.element_at("wishes", F.lit(k))
-        state = materialize(state.withColumn("to", asking).withColumn("bucket", bucket), "shard-wishes")
-        wishes = state.where("target is null").groupBy("to", "bucket").agg(F.sum("n").alias("n"))
-        last = _grant(wishes, taken, quota)
-        if not last:
+def _grant(wishes: DataFrame, room: dict[int, int]) -> tuple[list[tuple[int, int, int]], set[int]]:
+    """The (to, level, bucket) that are granted, from sums n of them, and the shards that only refused; room is brought up to date."""
+    granted: list[tuple[int, int, int]] = []
+    # At most shards x BUCKETS rows of small groups, and for each larger one some, bounded by shards / UNIT_PART.
+    asked = sorted((r["to"], -r["level"], r["bucket"], r["n"]) for r in wishes.collect())
+    for to, level, bucket, n in asked:
+        if n <= room[to]:
+            room[to] -= n
+            granted.append((to, -level, bucket))
+    return granted, {x[0] for x in asked} - {x[0] for x in granted}
+
+
+def _ask(free: list[int]):
+    """The shard that each unit asks for, and whether it would take all that is unplaced of its group."""
+    shards = len(free)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            to: list[int | None] = []
+            whole = []
+            for hub, n, target, held, loose in zip(*(b[c].to_pylist() for c in ("hub", "n", "target", "held", "loose"))):
+                best = [(-p["least"], p["held"]) for p in held]
+                if target is None:
+                    known = {s for s, _ in best}
+                    first = zlib.crc32(hub)
+                    order = [s for s, _ in best] + [s for s in ((first + i) % shards for i in range(shards)) if s not in known]
+                    takes_all = next((s for s in order if free[s] >= loose), None)
+                else:
+                    # A unit that has a place asks only for shards that hold more of its group.
+                    own = dict(best)[target]
+                    order, takes_all = [s for s, h in best if h > own], None
+                whole.append(takes_all is not None)
+                to.append(takes_all if takes_all is not None else next((s for s in order if free[s] >= n), None))
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("hub", "unit", "n", "target", "size")), pa.array(to, pa.int32()), pa.array(whole, pa.bool_())], ["hub", "unit", "n", "target", "size", "to", "whole"])
+
+    return ask
+
+
+def _propagate(starts: DataFrame, n_docs: int, shards: int, rounds: int | None) -> DataFrame:
+    """(unit, target) of the units that are granted a shard, from rows (hub, unit, shard, n): how many of its documents are where."""
+    quota = n_docs // shards
+    state = starts.groupBy("hub", "unit").agg(F.sum("n").alias("n")).withColumn("target", F.lit(None).cast("int"))
+    state = materialize(state, "shard-units")
+    closed: set[int] = set()
+    cut, k = None, 0
+    while rounds is None or k < rounds:
+        k += 1
+        room = dict.fromkeys(range(shards), quota)
+        for row in state.where("target is not null").groupBy("target").agg(F.sum("n").alias("n")).collect():  # at most `shards` rows
+            room[row["target"]] -= row["n"]
+        # Where each group's documents are by now: at most `shards` places.
+        still = starts.join(state.where("target is null").select("unit"), "unit", "left_semi").select("hub", "shard", "n", F.col("n").alias("loose"))
+        settled = state.where("target is not null").select("hub", F.col("target").alias("shard"), "n", F.lit(0).cast("long").alias("loose"))
+        held = still.unionByName(settled).groupBy("hub", "shard").agg(F.sum("n").alias("n"), F.sum("loose").alias("loose"))
+        place = F.struct(F.col("n").alias("held"), (-F.col("shard")).alias("least"))
+        held = held.groupBy("hub").agg(F.sort_array(F.collect_list(place), asc=False).alias("held"), F.sum("n").alias("size"), F.sum("loose").alias("loose"))
+        held = materialize(held, "shard-held")
+        now = held.agg(F.sum("loose").alias("loose"), F.sum(F.col("size") - F.col("held")[0]["held"]).alias("cut")).first()
+        if now["cut"] is None or now["cut"] == 0 and not now["loose"]:
             break
-        limit = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))
-        granted = F.col("target").isNull() & (F.col("bucket") <= F.coalesce(F.try_element_at(limit, F.col("to")), F.lit(-1)))
-        state = state.withColumn("target", F.when(granted, F.col("to")).otherwise(F.col("target"))).drop("to", "bucket")
+        if not now["loose"] and cut is not None and now["cut"] >= cut:
+            break
+        cut = now["cut"]
+        # The shards by how much of the group they hold, then all others, in one order for the whole group.
+        asking = materialize(state.join(held, "hub").mapInArrow(_ask([0 if s in closed else room[s] for s in range(shards)]), "hub binary, unit long, n long, target int, size long, to int, whole boolean"), "shard-asks")
+        large = F.col("size") > max(1.0, quota * UNIT_PART)
+        level = F.when(large, F.floor(F.log2("size")).cast("int") + 1).otherwise(0)
+        # All of a group or none, while one shard takes it.
+        bucket = F.when(large & F.col("whole"), F.xxhash64("hub")).when(large, F.xxhash64("unit")).otherwise(F.pmod(F.xxhash64("unit", F.lit(k)), F.lit(BUCKETS)).cast("long"))
+        asking = asking.select("hub", "unit", "n", "target", "to", level.alias("level"), bucket.alias("bucket"))
+        granted, refused = _grant(asking.where("to is not null").groupBy("to", "level", "bucket").agg(F.sum("n").alias("n")), {s: 0 if s in closed else room[s] for s in room})
+        if not granted and not refused:
+            break
+        closed |= refused
+        if not granted:
+            continue
+        yes = F.broadcast(asking.sparkSession.createDataFrame(granted, "to int, level int, bucket long").withColumn("yes", F.lit(True)))
+        moved = asking.join(yes, ["to", "level", "bucket"], "left")
+        state = materialize(moved.select("hub", "unit", "n", F.when(F.col("yes"), F.col("to")).otherwise(F.col("target")).alias("target")), "shard-units")
     return state.where("target is not null").select("unit", "target")
 
 
@@ -124,7 +171,7 @@ def _sizes_even(placed: DataFrame, n_docs: int, shards: int) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", "hub", to.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """A row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: this law has none)."""
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = table.mapInArrow(_digests, "doc_id long, size long, text_crc32 long, hub binary")
@@ -137,7 +184,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     n_units = F.least(F.lit(SLICES), F.ceil(F.col("group_size") / F.lit(most))).cast("int")
     groups = materialize(groups.select("hub", n_units.alias("units")), "shard-groups")
     unit = F.xxhash64("hub", F.pmod(F.col("slice"), F.col("units"))).alias("unit")
-    units = slices.join(groups, "hub").select(unit, F.col("start").alias("shard"), "n").groupBy("unit", "shard").agg(F.sum("n").alias("n"))
+    units = slices.join(groups, "hub").select("hub", unit, F.col("start").alias("shard"), "n").groupBy("hub", "unit", "shard").agg(F.sum("n").alias("n"))
+    units = materialize(units, "shard-starts")
     targets = _propagate(units, n_docs, shards, rounds)
     # One row for each slice of a linked group: the keys by which documents find their target.
     keys = slices.join(groups, "hub").select("hub", "slice", unit).distinct()
