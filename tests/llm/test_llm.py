@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import runpy
 import zlib
 
 import numpy as np
@@ -152,6 +153,13 @@ def test_words_do_not_depend_on_segments(monkeypatch):
 
 
 # ---- embeddings ----
+def test_short_words_hash_alike_before_and_after_longer_ones():
+    fresh = runpy.run_module("tilespark.llm.ngram_join")
+    first = fresh["shingle_set"](b"a b c d e f").tolist()
+    fresh["shingle_set"](b"a longer word")
+    assert fresh["shingle_set"](b"a b c d e f").tolist() == first
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 8))

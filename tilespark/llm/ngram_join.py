@@ -71,7 +71,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
+_powers = np.full(1, 0xD6E8FEB86659FD93, np.uint64)
 _letters = _mixed(np.arange(1, 257, dtype=np.uint64) * _MIX[2])
 
 
