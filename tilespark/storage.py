@@ -5,18 +5,39 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir (a folder of our own where that is unset): computed once, with a short plan."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or else the context's checkpoint folder; where both are unset, in local mode alone (tests), a folder of our own."""
     global _own
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        _own = _own or f"file://{tempfile.mkdtemp(prefix='tilespark-')}"
-        folder = _own
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    _own = _own or f"file://{tempfile.mkdtemp(prefix='tilespark-')}"
+    return _own
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, with a short plan; a lost executor costs no more than its tasks."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `stored` has written and that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
