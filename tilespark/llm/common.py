@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The white space of the corpus contracts: space and the controls 9 to 13.
-SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
-
-_own_dir: str | None = None
-
+from ..storage import discard, scratch_path, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="tilespark-")
-    return f"file://{_own_dir}"
+__all__ = ["SPACE_BYTES", "connected_components", "discard", "joined_by_size", "keep_rows", "least_reached", "materialize", "ranked", "runs", "salt", "scratch_path"]
 
+#: The white space of the corpus contracts: space and the controls 9 to 13.
+SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+materialize = stored
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: cuts lineage, survives a lost executor."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Keys that hold more than this part of all rows are hot: there are fewer of them than this number.
+HOT_PARTS = 1024
 
 
 def salt(count: int, *cols: str | Column) -> Column:
@@ -80,26 +65,70 @@ def keep_rows(docs: DataFrame, flags: DataFrame) -> DataFrame:
     return out.join(shared, out["doc_id"].eqNullSafe(F.col("__keep_id")), "left_anti").unionByName(twins.drop("__keep_md5", "__keep_n"))
 
 
+def joined_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """rows left-joined with groups (one row per key; `size`: how many of the rows have it, `n_rows` in all).
+
+    The groups of hot keys are fewer than HOT_PARTS and go to the rows; those of
+    other keys meet them by a shuffle. Rows of a null key are not shuffled.
+    """
+    hot = F.col(size) * HOT_PARTS > n_rows
+    common, rare = F.broadcast(groups.where(hot)), groups.where(~hot)
+    known = rows.where(F.col(key).isNotNull())
+    out = known.join(common, key).unionByName(known.join(common.select(key), key, "left_anti").join(rare, key, "left"))
+    extra = [F.lit(None).cast(t).alias(c) for c, t in groups.dtypes if c != key]
+    return out.unionByName(rows.where(F.col(key).isNull()).select("*", *extra))
+
+
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(id, component) of every end of the edges (a, b); a component is its smallest id.
 
     Labels fall to the least among the neighbours' and then to their label's
-    label, until a round changes none; rounds are stored tables.
+    label, until a round changes none; rounds are stored tables, the last but one
+    of which is removed. Ends and labels that many rows share are told apart
+    from the others by a count, so that none is one task's.
     """
     edges = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
+    n_edges = edges.count()
+    degrees = materialize(edges.groupBy("b").agg(F.count(F.lit(1)).alias("degree")), f"{name}-degrees")
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
     labels = materialize(labels.select("id", F.least("id", "component").alias("component")), f"{name}-labels")
+    n_ids = labels.count()
     while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("to"))
-        up = labels.select(F.col("id").alias("to"), F.col("component").alias("top"))
-        step = lower.join(up, "to").select("id", F.least("to", "top").alias("now"), "component")
+        ends = labels.withColumnRenamed("id", "b").join(degrees, "b")
+        near = joined_by_size(edges, ends, "b", "degree", n_edges).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        lower = materialize(labels.join(near, "id").select("id", "component", F.least("component", "near").alias("to")), f"{name}-lower")
+        tops = lower.groupBy("to").agg(F.count(F.lit(1)).alias("n")).join(labels.select(F.col("id").alias("to"), F.col("component").alias("top")), "to")
+        step = joined_by_size(lower, tops, "to", "n", n_ids).select("id", F.least("to", "top").alias("now"), "component")
         step = materialize(step, f"{name}-labels")
+        discard(lower, labels)
         labels = step.select("id", F.col("now").alias("component"))
+        labels._scratch = step._scratch
         if step.where("now <> component").isEmpty():
+            discard(edges, degrees)
             return labels
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, from batches in which equal keys stand together."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        rest = None
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            column = table[k].to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        starts = np.flatnonzero(new).tolist()
+        for a, z in zip(starts, starts[1:]):
+            yield table.slice(a, z - a)
+        rest = table.slice(starts[-1])
+    if rest is not None:
+        yield rest
+
+
 def least_reached(ids: np.ndarray, links: np.ndarray) -> np.ndarray:
     """For each row of a symmetric link matrix the least id that links reach from it."""
     least = ids.copy()

@@ -2,14 +2,27 @@
 
 The shingles of a text are its runs of `n` words (maximal runs of characters
 other than `[\\x20\\x09-\\x0D]`), as 64-bit hashes; a text of fewer words is one
-shingle. Texts with equal shingle sets are one class from the start. The forest
-has `trees` tries over signatures of `depth` digits. All texts that share a
-trie node are candidates; the matched prefix is shortened from the full depth
-until the recall that the trees promise at the threshold reaches the target.
-Candidates join into groups, and within a group all sets meet in square blocks,
-where matrix products of their incidence give exact intersections. A block
-reports links by count and a spanning forest of them, so no pair of documents
-is ever a row and a group of any size is split over tasks of similar size.
+shingle. Texts with equal shingle sets are one class from the start.
+
+The forest has `trees` tries over signatures of `depth` MinHash digits. Each trie
+is the sorted order of its labels, dealt out by ranges: neighbours' common
+prefixes tell which sets share a node at any depth, and a row per set and tree
+names the first set of its node at each depth. Matched prefixes are shortened
+from the full depth, for each set until the chance that one of its links is lost
+is at most 1 - `recall`: first for all sets to where a link at the threshold is
+found with that chance; then, after verification, further for each set whose
+links, by their exact similarities, are more or nearer the threshold than that
+depth serves.
+
+The sets of a node meet in blocks, where whole signatures tell pairs that may
+reach the threshold (within `slack`, five standard deviations) from chance. What
+is so joined is verified: all sets of a group meet in square blocks, where matrix
+products of their incidence give exact intersections. A block reports links by
+count and a spanning forest of them, so no pair of documents is ever a row and a
+group of any size is split over tasks of similar size.
+
+Two shingles are taken for equal if their 64-bit hashes are, and two sets if
+their 128-bit digests are.
 
 Defined cases: texts without words (null, empty, white space) link to nothing
 and stay; rows that share a doc_id are rows of their own; of a class the row
@@ -26,13 +39,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, connected_components, keep_rows, least_reached, materialize
+from .common import SPACE_BYTES, connected_components, discard, joined_by_size, keep_rows, least_reached, materialize, runs
 
-#: Candidate rows (40 bytes each) up to which they are sent to the scan; beyond it the texts are shuffled to them.
-BROADCAST_CANDIDATES = 1 << 19
+#: Candidate rows (of five numbers and 16 bytes each) up to which they are sent to the scan; beyond it the texts are shuffled to them.
+BROADCAST_CANDIDATES = 1 << 17
+#: Rows of a trie that one task sorts, about.
+ROWS_PER_TASK = 1 << 20
+#: Sets of a node or group that one task compares with each other; beyond it blocks of about twice the root of their number.
+NODE_BLOCK, GROUP_BLOCK = 512, 64
 #: Bytes of text that are hashed at once.
 SEGMENT = 1 << 20
 #: Shingles that are columns of an incidence matrix at once.
@@ -52,13 +70,27 @@ class Forest:
     depth: int = 8
     seed: int = 5
 
+    #: The shortest prefix: it loses one link of 10^10 at the threshold, so no set needs a shorter one.
+    shortest: int = 3
+    #: How far a signature may put a similarity below the threshold, in standard deviations.
+    slack: float = 5.0
+
+    def lost(self, similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
+        """The chance that two sets share no node at a depth."""
+        return (1 - similarity**depth) ** self.trees
+
     def matched_depth(self) -> int:
-        """The longest prefix that, shared in any tree, finds a pair at the threshold with the target recall."""
+        """The longest prefix that loses a link at the threshold with a chance of at most 1 - recall."""
         depth = self.depth
-        while depth > 1 and 1 - (1 - self.threshold**depth) ** self.trees < self.recall:
+        while depth > self.shortest and self.lost(self.threshold, depth) > 1 - self.recall:
             depth -= 1
         return depth
 
+    def least_agreement(self) -> float:
+        """The part of a signature's digits that a pair at the threshold shares almost surely."""
+        digits = self.trees * self.depth
+        return self.threshold - self.slack * (self.threshold * (1 - self.threshold) / digits) ** 0.5
+
     def permutations(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
         size = (self.trees * self.depth, 1)
@@ -112,7 +144,7 @@ def shingle_set(text: bytes, n: int = 5) -> np.ndarray:
 
 
 def _set_key(shingles: np.ndarray) -> bytes:
-    return np.array([len(shingles), shingles.sum(dtype=np.uint64), _mixed(shingles + _MIX[2]).sum(dtype=np.uint64)], "<u8").tobytes()
+    return hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=16).digest()
 
 
 def _signatures(forest: Forest):
@@ -136,22 +168,130 @@ def _signatures(forest: Forest):
     return sign
 
 
-def _candidate_edges(sets: DataFrame, forest: Forest) -> DataFrame:
-    """Edges (a, b) that connect all sets of each trie node at the matched depth.
+def _tries(forest: Forest):
+    """Walk sorted (tree, label, rep): for each set the first set of its node at each depth, of this task's rows.
 
-    A set is linked to the least of the first sets ("hubs") of its nodes, and its
-    other hubs to that one too. Sets of one group share their hubs, so these
-    edges are hardly more than the sets, where one per tree would be many times as many.
+    A task's first and last rows keep their labels, so that nodes can be joined
+    across tasks. Sets that share no node of the shortest prefix are left out.
     """
-    depth = forest.matched_depth()
-    tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1)))
-    rows = sets.select("rep", "signature", tree.alias("tree"))
-    prefix = F.substring(F.col("signature"), F.col("tree") * (2 * forest.depth) + 1, F.lit(2 * depth))
-    nodes = rows.select("rep", F.xxhash64("tree", prefix).alias("node"))
-    hubs = nodes.groupBy("node").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("node", "hub")
-    stars = nodes.join(hubs, "node").where("rep > hub").groupBy("rep").agg(F.min("hub").alias("b"), F.collect_set("hub").alias("hubs"))
-    ends = F.explode(F.concat(F.array("rep"), F.filter("hubs", lambda h: h != F.col("b"))))
-    return stars.select(ends.alias("a"), "b").distinct()
+    depths = range(forest.shortest, forest.depth + 1)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not tables:
+            return
+        rows = pa.concat_tables(tables).combine_chunks()
+        n = rows.num_rows
+        tree, rep = rows["tree"].to_numpy(), rows["rep"].to_numpy()
+        labels = rows["label"].to_numpy()
+        digits = np.frombuffer(b"".join(labels), "<u2").reshape(n, forest.depth)
+        common = np.zeros(n, np.int64)
+        same = tree[1:] == tree[:-1]
+        for k in range(forest.depth):
+            same = same & (digits[1:, k] == digits[:-1, k])
+            common[1:] += same
+        place = np.arange(n)
+        firsts = [rep[np.maximum.accumulate(np.where(common < x, place, 0))] for x in depths]
+        edge = np.zeros(n, bool)
+        edge[[0, -1]] = True
+        keep = (common >= forest.shortest) | np.append(common[1:] >= forest.shortest, False) | edge
+        arrays = [pa.array(tree[keep]), pa.array(rep[keep]), *(pa.array(f[keep]) for f in firsts)]
+        arrays += [pa.array(np.where(edge, labels, None)[keep], pa.binary()), pa.array((place == n - 1)[keep])]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(int(keep.sum()), TaskContext.get().partitionId(), np.int32))], ["tree", "rep", *(f"d{x}" for x in depths), "label", "last", "part"])
+
+    return walk
+
+
+def _grow(sets: DataFrame, forest: Forest) -> DataFrame:
+    """(tree, rep, d3 .. d8): sets that share nodes, and the first set of each node that they are in."""
+    n_rows = sets.count() * forest.trees
+    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // ROWS_PER_TASK + 1)
+    rows = sets.select("rep", "signature", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
+    label = F.substring(F.col("signature"), F.col("tree") * (2 * forest.depth) + 1, F.lit(2 * forest.depth)).alias("label")
+    order = ["tree", "label", "rep"]
+    rows = rows.select("tree", label, "rep").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    names = [f"d{x}" for x in range(forest.shortest, forest.depth + 1)]
+    found = rows.mapInArrow(_tries(forest), f"tree int, rep long, {', '.join(f'{x} long' for x in names)}, label binary, last boolean, part int")
+    found = materialize(found, "ngram-tries")
+    return _across_tasks(found, forest)
+
+
+def _across_tasks(found: DataFrame, forest: Forest) -> DataFrame:
+    """Give nodes that several tasks hold parts of the first set of their first part."""
+    depths = range(forest.shortest, forest.depth + 1)
+    names = [f"d{x}" for x in depths]
+    # Two rows of each task: the ends of its range.
+    ends = found.where("label is not null").select("part", "last", "tree", "rep", "label", *names).orderBy("part", "last").collect()
+    renamed: list[tuple[int, int, int, int]] = []
+    before: dict[int, int] = {}
+    for a, z in zip(ends, ends[1:]):
+        if a["part"] == z["part"]:
+            # One node may fill a whole task: it goes on.
+            before = {x: first for x, first in before.items() if a[f"d{x}"] == z[f"d{x}"] and a["tree"] == z["tree"]}
+            continue
+        last = {x: before.get(x, a[f"d{x}"]) for x in depths}
+        before = {x: first for x, first in last.items() if a["tree"] == z["tree"] and a["label"][: 2 * x] == z["label"][: 2 * x]}
+        renamed += [(z["part"], x, z["rep"], first) for x, first in before.items()]
+    out = found.select("tree", "rep", "part", *names)
+    if renamed:
+        # The run of a task's first row: its first set can be another tree's first set too, so the place is told by the tree as well.
+        first_tree = F.broadcast(found.where("label is not null and not last").select("part", F.col("tree").alias("first_tree")))
+        out = out.join(first_tree, "part", "left")
+        # At most a row for each depth and task.
+        table = found.sparkSession.createDataFrame(renamed, "part int, depth int, own long, first long")
+        for x in depths:
+            mine = F.broadcast(table.where(F.col("depth") == x).select("part", F.col("own").alias(f"d{x}"), "first"))
+            out = out.join(mine, ["part", f"d{x}"], "left")
+            out = out.withColumn(f"d{x}", F.when(F.col("tree") == F.col("first_tree"), F.coalesce("first", f"d{x}")).otherwise(F.col(f"d{x}"))).drop("first")
+        out = materialize(out.select("tree", "rep", *names), "ngram-forest")
+    return out.select("tree", "rep", *names)
+
+
+def _likely(least: float):
+    """Pairs of a node's block whose signatures agree in enough digits, as a spanning forest (a, b)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in runs(batches, ["node", "lo", "hi"]):
+            reps, own = block["rep"].to_numpy(), block["block"].to_numpy()
+            signatures = np.frombuffer(b"".join(block["signature"].to_pylist()), "<u2").reshape(len(reps), -1)
+            links = np.zeros((len(reps), len(reps)), bool)
+            z = np.flatnonzero(own == block["hi"][0].as_py())
+            for i in np.flatnonzero(own == block["lo"][0].as_py()).tolist():
+                links[i, z] = (signatures[z] == signatures[i]).mean(axis=1) >= least
+            links |= links.T
+            to = least_reached(reps, links)
+            some = to != reps
+            yield pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(to[some])], ["a", "b"])
+
+    return compare
+
+
+def _in_blocks(members: DataFrame, group: str, least_block: int) -> DataFrame:
+    """members (group, rep, m: the group's size, ...) once for each block that they meet: with lo, hi and their own block."""
+    blocks = F.ceil(F.col("m") / F.greatest(F.lit(float(least_block)), 2 * F.sqrt("m"))).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with"))
+    return rows.drop("blocks", "with", "m")
+
+
+def _pairs(tries: DataFrame, sets: DataFrame, forest: Forest, depth: int, active: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between sets of a node at this depth that look alike; of nodes with an active set only, if given."""
+    rows = tries.select(F.xxhash64("tree", f"d{depth}").alias("node"), "rep")
+    if active is not None:
+        rows = rows.join(rows.join(active, "rep", "left_semi").select("node").distinct(), "node", "left_semi")
+    # Near copies share the same nodes in many trees: equal nodes are looked at once.
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("sum2"))
+    nodes = nodes.where("m > 1").groupBy("m", "sum", "sum2").agg(F.min("node").alias("node")).select("node", "m")
+    members = materialize(rows.join(nodes, "node").select("node", "m", "rep"), "ngram-nodes")
+    signed = _in_blocks(members.join(sets.select("rep", "signature"), "rep"), "node", NODE_BLOCK)
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, members.count() // ROWS_PER_TASK * 16 + 1)
+    keys = ["node", "lo", "hi"]
+    signed = signed.select(*keys, "block", "rep", "signature").repartition(tasks, *keys).sortWithinPartitions(*keys)
+    out = materialize(signed.mapInArrow(_likely(forest.least_agreement()), "a long, b long").distinct(), "ngram-edges")
+    discard(members)
+    return out
 
 
 def _shingle_rows(n: int):
@@ -165,8 +305,8 @@ def _shingle_rows(n: int):
     return read
 
 
-def linked(lo: list[np.ndarray], hi: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Whether the Jaccard similarity of each set of lo with each of hi reaches the threshold."""
+def similarities(lo: list[np.ndarray], hi: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of the intersection and the union of each set of lo with each of hi."""
     parts = [*lo, *hi]
     values, column = np.unique(np.concatenate(parts), return_inverse=True)
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -183,72 +323,124 @@ def linked(lo: list[np.ndarray], hi: list[np.ndarray], threshold: float) -> np.n
         incidence[row[a:z], column[a:z] - first] = 1
         common += incidence[: len(lo)] @ incidence[len(lo) :].T
     sizes = np.array([len(p) for p in parts], np.float64)
-    union = sizes[: len(lo), None] + sizes[None, len(lo) :] - common
-    return common >= threshold * union - 1e-9
-
-
-def _verify(threshold: float):
-    def verify(table: pa.Table) -> pa.Table:
-        block = table["block"].to_numpy()
-        reps, copies = table["rep"].to_numpy(), table["copies"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        low, high = table["lo"][0].as_py(), table["hi"][0].as_py()
-        a = np.flatnonzero(block == low)
-        z = np.flatnonzero(block == high)
-        found = linked([sets[i] for i in a], [sets[i] for i in z], threshold) if len(a) and len(z) else np.zeros((len(a), len(z)), bool)
-        links = np.zeros((len(reps), len(reps)), bool)
-        links[np.ix_(a, z)] = found
-        links |= links.T
-        np.fill_diagonal(links, False)
-        counts = links @ copies.astype(np.float64)
-        return pa.table({"rep": reps, "n": counts.astype(np.int64), "to": least_reached(reps, links)})
+    return common, sizes[: len(lo), None] + sizes[None, len(lo) :] - common
+
+
+def _verify(forest: Forest):
+    """(rep, n, to, lost): links of the sets of a group's block, a spanning forest, and the chances that they are lost at each depth."""
+    depths = range(forest.shortest, forest.depth + 1)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in runs(batches, ["component", "lo", "hi"]):
+            own, reps, copies = (block[c].to_numpy() for c in ("block", "rep", "copies"))
+            sets = [np.frombuffer(x, np.uint64) for x in block["shingles"].to_pylist()]
+            low, high = block["lo"][0].as_py(), block["hi"][0].as_py()
+            a, z = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            links = np.zeros((len(reps), len(reps)), bool)
+            lost = np.zeros((len(reps), len(depths)))
+            if len(a) and len(z):
+                common, union = similarities([sets[i] for i in a], [sets[i] for i in z])
+                found = common >= forest.threshold * union - 1e-9
+                links[np.ix_(a, z)] = found
+                at_a, at_z = np.nonzero(found)
+                other = a[at_a] != z[at_z]
+                at_a, at_z = at_a[other], at_z[other]
+                similar = common[at_a, at_z] / union[at_a, at_z]
+                for k, depth in enumerate(depths):
+                    chance = forest.lost(similar, depth)
+                    np.add.at(lost[:, k], a[at_a], chance)
+                    if low != high:
+                        np.add.at(lost[:, k], z[at_z], chance)
+            links |= links.T
+            np.fill_diagonal(links, False)
+            counts = links @ copies.astype(np.float64)
+            arrays = [pa.array(reps), pa.array(counts.astype(np.int64)), pa.array(least_reached(reps, links)), pa.array(list(lost), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["rep", "n", "to", "lost"])
 
     return verify
 
 
+def _verified(table: DataFrame, sets: DataFrame, first: DataFrame, groups: DataFrame, forest: Forest) -> DataFrame:
+    """What `_verify` reports of the groups (id, component), with the sets' shingles read again from one text each."""
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    grouped = groups.join(sizes, "component").select(F.col("id").alias("rep"), "component", "m")
+    members = materialize(sets.select("rep", "copies").join(grouped, "rep").join(first, "rep"), "ngram-members")
+    n_members = members.count()
+    wanted = F.broadcast(members) if n_members <= BROADCAST_CANDIDATES else members
+    # A null doc_id is 0 in the key and told apart by the flag; the set's key drops other rows of the same doc_id.
+    keyed = table.withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
+    wanted_key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
+    texts = keyed.join(wanted.select("rep", "copies", "component", "m", "set_key", *wanted_key), ["_id", "_null"])
+    texts = texts.select("text", "set_key", "rep", "copies", "component", "m")
+    found = texts.mapInArrow(_shingle_rows(forest.n), "rep long, copies long, component long, m long, shingles binary").dropDuplicates(["rep"])
+    keys = ["component", "lo", "hi"]
+    placed = _in_blocks(found, "component", GROUP_BLOCK).select(*keys, "block", "rep", "copies", "shingles")
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.repartition(max(tasks, n_members // 4096), *keys).sortWithinPartitions(*keys)
+    out = materialize(placed.mapInArrow(_verify(forest), "rep long, n long, to long, lost array<double>"), "ngram-links")
+    discard(members)
+    return out
+
+
+def _needs(verified: DataFrame, forest: Forest) -> DataFrame:
+    """(rep, depth): the longest prefix at which a set keeps all its links, and one at the threshold beside, with the chance of `recall`."""
+    depths = range(forest.shortest, forest.depth + 1)
+    lost = verified.groupBy("rep").agg(*(F.sum(F.col("lost")[k]).alias(f"l{x}") for k, x in enumerate(depths)))
+    need = F.lit(forest.shortest)
+    for x in depths:
+        need = F.when(F.col(f"l{x}") + float(forest.lost(forest.threshold, x)) <= 1 - forest.recall, F.lit(x)).otherwise(need)
+    return lost.select("rep", need.alias("depth"))
+
+
 def _classes(docs: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
-    """The rows (row_id, doc_id, text_md5, set_key), and per set key its number of links and its class' root set."""
+    """The rows (row_id, doc_id, text_md5, set_key), and per set key its copies, number of links and its class' root set."""
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = table.mapInArrow(_signatures(forest), "doc_id long, text_md5 string, set_key binary, signature binary")
     rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "ngram-rows")
     # Equal sets have equal signatures, so any one of them stands for all.
     sets = rows.where("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("signature").alias("signature"))
     sets = materialize(sets, "ngram-sets")
-    groups = connected_components(_candidate_edges(sets, forest), "ngram-groups")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    # Blocks of about twice the root of the group's size: tasks stay small, and a set travels half the root's times.
-    blocks = F.ceil(F.col("m") / F.greatest(F.lit(64.0), 2 * F.sqrt("m"))).cast("int")
-    grouped = groups.join(sizes, "component").select(F.col("id").alias("rep"), "component", blocks.alias("blocks"))
     first = rows.select(F.col("row_id").alias("rep"), "doc_id", "set_key")
-    members = materialize(sets.select("rep", "copies").join(grouped, "rep").join(first, "rep"), "ngram-members")
-    few = members.count() <= BROADCAST_CANDIDATES
-    wanted = F.broadcast(members) if few else members
-    # A null doc_id is 0 in the key and told apart by the flag; the set's key drops other rows of the same doc_id.
-    keyed = table.withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
-    wanted_key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
-    texts = keyed.join(wanted.select("rep", "copies", "component", "blocks", "set_key", *wanted_key), ["_id", "_null"])
-    texts = texts.select("text", "set_key", "rep", "copies", "component", "blocks")
-    found = texts.mapInArrow(_shingle_rows(forest.n), "rep long, copies long, component long, blocks int, shingles binary").dropDuplicates(["rep"])
-    placed = found.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("component", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "rep", "copies", "shingles")
-    verified = placed.groupBy("component", "lo", "hi").applyInArrow(_verify(forest.threshold), "rep long, n long, to long")
-    verified = materialize(verified, "ngram-links")
+    tries = _grow(sets, forest)
+    depth = forest.matched_depth()
+    groups = connected_components(_pairs(tries, sets, forest, depth), "ngram-groups")
+    verified = _verified(table, sets, first, groups, forest)
+    while depth > forest.shortest:
+        depth -= 1
+        active = materialize(_needs(verified, forest).where(F.col("depth") <= depth).select("rep"), "ngram-active")
+        if active.isEmpty():
+            break
+        edges = _pairs(tries, sets, forest, depth, active)
+        name = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"{c}_group"))
+        across = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
+        across = materialize(across.where("a <> b").distinct(), "ngram-across")
+        if across.isEmpty():
+            continue
+        # Groups that shorter prefixes join are verified anew as a whole; what was found of their parts goes.
+        joined = connected_components(across, "ngram-joined").select(F.col("id").alias("component"), F.col("component").alias("now"))
+        moved = groups.join(joined, "component").select("id", F.col("now").alias("component"))
+        new = joined.join(groups.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("now").alias("component"))
+        changed = materialize(moved.unionByName(new), "ngram-changed")
+        again = _verified(table, sets, first, changed, forest)
+        verified = materialize(verified.join(changed.select(F.col("id").alias("rep")), "rep", "left_anti").unionByName(again), "ngram-links")
+        groups = materialize(groups.join(changed.select("id"), "id", "left_anti").unionByName(changed), "ngram-groups")
     links = verified.groupBy("rep").agg(F.sum("n").alias("n"))
     classes = connected_components(verified.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")), "ngram-classes")
-    named = sets.join(links, "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
+    named = sets.select("set_key", "rep", "copies").join(links, "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
     n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
-    return rows.drop("signature"), named.select("set_key", n_links.alias("n_links"), F.coalesce("component", "rep").alias("root"))
+    named = named.select("set_key", "copies", n_links.alias("n_links"), F.coalesce("component", "rep").alias("root"))
+    return rows.drop("signature"), materialize(named, "ngram-named")
 
 
 def _flags(docs: DataFrame, forest: Forest) -> DataFrame:
     rows, sets = _classes(docs, forest)
-    rows = rows.join(sets, "set_key", "left").withColumn("root", F.coalesce("root", "row_id"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first")
+    n_rows = rows.count()
+    rows = joined_by_size(rows, sets, "set_key", "copies", n_rows).withColumn("root", F.coalesce("root", "row_id"))
     rows = materialize(rows.select("row_id", "doc_id", "text_md5", "root", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "ngram-flags")
     # Only classes of several rows need their first row looked up.
-    firsts = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("root", F.col("first.doc_id").alias("class_doc"), F.col("first.row_id").alias("class_row"))
-    out = rows.join(firsts, "root", "left")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first")
+    firsts = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), best).where("n > 1").select("root", "n", F.col("first.doc_id").alias("class_doc"), F.col("first.row_id").alias("class_row"))
+    out = joined_by_size(rows, materialize(firsts, "ngram-firsts"), "root", "n", n_rows)
     alone = F.col("class_row").isNull()
     return out.select("doc_id", "text_md5", F.when(alone, F.col("doc_id")).otherwise(F.col("class_doc")).alias("class_id"), "n_links", (alone | (F.col("class_row") == F.col("row_id"))).alias("kept"))
 
