@@ -184,7 +184,7 @@ def _pieces(tokenizer_file: str, capacity: int, with_ids: bool):
         end = np.array([END_ID], tokens.dtype).tobytes()
         for b in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), tokens.encode([t or "" for t in b["text"].to_pylist()])):
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), tokens.encode(t.as_py() or "" for t in b["text"])):
                 wide = np.frombuffer(ids + end, tokens.dtype).astype("<u4")
                 bounds = cut(len(wide), capacity)
                 for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:])):
