@@ -59,10 +59,15 @@ def keep_rows(docs: DataFrame, flags: DataFrame) -> DataFrame:
         return out
     same = docs["doc_id"].eqNullSafe(F.col("__keep_id"))
     twins = docs.join(shared, same, "left_semi").withColumn("__keep_md5", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    twins = twins.withColumn("__keep_n", F.row_number().over(Window.partitionBy("doc_id", "__keep_md5").orderBy(F.lit(0))))
-    stay = flags.where("kept").groupBy(F.col("doc_id").alias("__keep_id"), F.col("text_md5").alias("__keep_text")).agg(F.count(F.lit(1)).alias("__keep_most"))
-    twins = twins.join(stay, twins["doc_id"].eqNullSafe(stay["__keep_id"]) & (F.col("__keep_md5") == F.col("__keep_text")) & (F.col("__keep_n") <= F.col("__keep_most")), "left_semi")
-    return out.join(shared, out["doc_id"].eqNullSafe(F.col("__keep_id")), "left_anti").unionByName(twins.drop("__keep_md5", "__keep_n"))
+    twins = materialize(twins.withColumn("__keep_row", F.monotonically_increasing_id()), "twins")
+    # Equal rows are numbered in slices, so that many of them are not one task's.
+    rows = twins.select("__keep_row", F.col("doc_id").alias("__keep_id"), "__keep_md5")
+    rows = rows.withColumn("__keep_key", F.concat(F.coalesce(F.col("__keep_id").cast("string"), F.lit("null")), F.lit(":"), "__keep_md5"))
+    rows = ranked(rows, ["__keep_key"], [F.col("__keep_row")], 64, ["__keep_row"], "__keep_n")
+    stay = flags.where("kept").groupBy(F.col("doc_id").alias("stay_id"), F.col("text_md5").alias("stay_md5")).agg(F.count(F.lit(1)).alias("most"))
+    first = F.col("__keep_id").eqNullSafe(F.col("stay_id")) & (F.col("__keep_md5") == F.col("stay_md5")) & (F.col("__keep_n") < F.col("most"))
+    twins = twins.join(rows.join(stay, first, "left_semi").select("__keep_row"), "__keep_row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    return out.join(shared, out["doc_id"].eqNullSafe(F.col("__keep_id")), "left_anti").unionByName(twins)
 
 
 def joined_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
@@ -82,30 +87,39 @@ def joined_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, n_ro
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(id, component) of every end of the edges (a, b); a component is its smallest id.
 
-    Labels fall to the least among the neighbours' and then to their label's
-    label, until a round changes none; rounds are stored tables, the last but one
-    of which is removed. Ends and labels that many rows share are told apart
-    from the others by a count, so that none is one task's.
+    First each end with several smaller neighbours hands all but the least of
+    them on to the least, until every end has one: a forest. Then every end is
+    moved up to its neighbour's neighbour, until that is a root. A root that many
+    ends point to is no task's alone. Rounds are stored tables; those that are
+    done with are removed.
     """
-    edges = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    n_edges = edges.count()
-    degrees = materialize(edges.groupBy("b").agg(F.count(F.lit(1)).alias("degree")), f"{name}-degrees")
-    labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-    labels = materialize(labels.select("id", F.least("id", "component").alias("component")), f"{name}-labels")
-    n_ids = labels.count()
+    larger = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    edges = materialize(edges.select(*larger).where("a <> b").distinct(), f"{name}-edges")
     while True:
-        ends = labels.withColumnRenamed("id", "b").join(degrees, "b")
-        near = joined_by_size(edges, ends, "b", "degree", n_edges).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        lower = materialize(labels.join(near, "id").select("id", "component", F.least("component", "near").alias("to")), f"{name}-lower")
-        tops = lower.groupBy("to").agg(F.count(F.lit(1)).alias("n")).join(labels.select(F.col("id").alias("to"), F.col("component").alias("top")), "to")
-        step = joined_by_size(lower, tops, "to", "n", n_ids).select("id", F.least("to", "top").alias("now"), "component")
-        step = materialize(step, f"{name}-labels")
-        discard(lower, labels)
-        labels = step.select("id", F.col("now").alias("component"))
-        labels._scratch = step._scratch
-        if step.where("now <> component").isEmpty():
-            discard(edges, degrees)
-            return labels
+        least = materialize(edges.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n")), f"{name}-least")
+        several = least.where("n > 1").select("a", F.col("b").alias("least"))
+        handed = edges.join(several, "a").where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        handed = materialize(handed.distinct(), f"{name}-handed")
+        done = handed.isEmpty()
+        if not done:
+            following = materialize(least.select("a", "b").union(handed).distinct(), f"{name}-edges")
+            discard(least)
+        discard(edges, handed)
+        if done:
+            break
+        edges = following
+    parents = least.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    old, n_ids = least, least.count()
+    while True:
+        counts = parents.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        tops = counts.join(parents.select(F.col("id").alias("component"), F.col("component").alias("top")), "component")
+        tops = materialize(tops, f"{name}-tops")
+        if tops.isEmpty():
+            discard(tops)
+            return parents.union(parents.select("component", "component").distinct())
+        parents = materialize(joined_by_size(parents, tops, "component", "n", n_ids).select("id", F.coalesce("top", "component").alias("component")), f"{name}-parents")
+        discard(old, tops)
+        old = parents
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

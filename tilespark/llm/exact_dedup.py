@@ -2,8 +2,8 @@
 
 A text is normalised by deleting the white space `[\\x20\\x09-\\x0D]`. Each
 partition builds one counting quotient filter of its 64-bit fingerprints, cut
-by leading bits; the cuts meet by those bits and merge without loss by walking
-their sorted remainders. Texts whose merged count is one are unique. All others
+by leading bits; the cuts meet by those bits and merge without loss: two filters'
+sorted remainders are woven into each other, nothing is sorted again. Texts whose merged count is one are unique. All others
 go to byte verification: their normalised bytes are grouped, so that a
 collision of fingerprints never joins two texts.
 
@@ -17,7 +17,7 @@ through by `keep_one`.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, keep_rows, materialize, salt
+from .common import SPACE_BYTES, joined_by_size, keep_rows, materialize, salt
 
 #: Fingerprints that one merging task holds, about; the number of cuts follows from it.
 FINGERPRINTS_PER_CUT = 1 << 20
@@ -46,14 +46,14 @@ class CountingQuotientFilter:
         self.occupied, self.runend, self.remainders, self.many, self.counts = occupied, runend, remainders, many, counts
 
     @classmethod
-    def build(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None, bits: int = 64) -> CountingQuotientFilter:
+    def build(cls, fingerprints: np.ndarray, bits: int = 64) -> CountingQuotientFilter:
         """From fingerprints of `bits` bits, in any order and with repeats."""
-        if counts is None:
-            keys, n = np.unique(fingerprints.astype(np.uint64), return_counts=True)
-        else:
-            order = np.argsort(fingerprints, kind="stable")
-            keys, at = np.unique(fingerprints[order], return_index=True)
-            n = np.add.reduceat(counts[order], at) if len(keys) else counts[:0]
+        keys, n = np.unique(fingerprints.astype(np.uint64), return_counts=True)
+        return cls.from_sorted(keys, n, bits)
+
+    @classmethod
+    def from_sorted(cls, keys: np.ndarray, n: np.ndarray, bits: int = 64) -> CountingQuotientFilter:
+        """From ascending different fingerprints and how often each is there."""
         q = max(1, int(len(keys)).bit_length())
         r = bits - q
         quotients = (keys >> np.uint64(r)).astype(np.int64)
@@ -86,9 +86,30 @@ class CountingQuotientFilter:
         return int(self.counts[k]) if k < len(self.many) and self.many[k] == at else 1
 
     @classmethod
-    def merge(cls, filters: list[CountingQuotientFilter], bits: int = 64) -> CountingQuotientFilter:
-        parts = [f.items() for f in filters]
-        return cls.build(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), bits)
+    def merge(cls, filters: Iterable[CountingQuotientFilter], bits: int = 64) -> CountingQuotientFilter:
+        """All filters as one, two of similar size at a time."""
+        waiting: list[CountingQuotientFilter] = []
+        for f in filters:
+            waiting.append(f)
+            while len(waiting) > 1 and len(waiting[-1].remainders) >= len(waiting[-2].remainders):
+                waiting.append(waiting.pop().merged(waiting.pop(), bits))
+        while len(waiting) > 1:
+            waiting.append(waiting.pop().merged(waiting.pop(), bits))
+        return waiting[0] if waiting else cls.build(np.zeros(0, np.uint64), bits)
+
+    def merged(self, other: CountingQuotientFilter, bits: int = 64) -> CountingQuotientFilter:
+        """Both filters' runs of remainders are in order, so they are woven into each other; nothing is sorted."""
+        a, n = self.items()
+        b, m = other.items()
+        # Where the other's fingerprints go; equal ones stand right after their twin.
+        place = np.searchsorted(a, b, "right") + np.arange(len(b))
+        mine = np.ones(len(a) + len(b), bool)
+        mine[place] = False
+        keys, counts = np.empty(len(mine), np.uint64), np.empty(len(mine), np.int64)
+        keys[place], counts[place], keys[mine], counts[mine] = b, m, a, n
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        return self.from_sorted(keys[first], np.add.reduceat(counts, np.flatnonzero(first)) if len(keys) else counts, bits)
 
     def to_bytes(self) -> bytes:
         width = (self.r + 7) // 8
@@ -122,12 +143,15 @@ def _fingerprint(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        digests = [hashlib.sha256(x).digest() for x in _normalised(b["text"])]
-        raw = [hashlib.md5(x or b"").hexdigest() for x in b["text"].cast(pa.binary()).to_pylist()]
-        points = pc.fill_null(pc.utf8_length(b["text"]), 0).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([b["doc_id"], points, pa.array([_fingerprint(d) for d in digests], pa.int64()), pa.array(digests, pa.binary()), pa.array(raw)], ["doc_id", "n_points", "fp", "sha", "text_md5"])
+def _digests(with_md5: bool):
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sha = [hashlib.sha256(x).digest() for x in _normalised(b["text"])]
+            points = pc.fill_null(pc.utf8_length(b["text"]), 0).cast(pa.int64())
+            raw = [hashlib.md5(x or b"").hexdigest() for x in b["text"].cast(pa.binary()).to_pylist()] if with_md5 else [None] * len(sha)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], points, pa.array([_fingerprint(d) for d in sha], pa.int64()), pa.array(sha, pa.binary()), pa.array(raw, pa.string())], ["doc_id", "n_points", "fp", "sha", "text_md5"])
+
+    return digests
 
 
 def _build_filters(cut_bits: int):
@@ -147,7 +171,7 @@ def _build_filters(cut_bits: int):
 def _merge_filters(cut_bits: int):
     def merge(table: pa.Table) -> pa.Table:
         rest = 64 - cut_bits
-        merged = CountingQuotientFilter.merge([CountingQuotientFilter.from_bytes(x.as_py()) for x in table["filter"]], bits=rest)
+        merged = CountingQuotientFilter.merge((CountingQuotientFilter.from_bytes(x.as_py()) for x in table["filter"]), bits=rest)
         keys, counts = merged.items()
         keys = (keys | np.uint64(table["cut"][0].as_py() << rest)).view(np.int64)
         return pa.table({"fp": pa.array(keys[counts > 1], pa.int64()), "n": pa.array(counts[counts > 1], pa.int64())})
@@ -169,10 +193,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(d) for d in digests], pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.binary())], ["fp", "sha", "bytes"])
 
 
-def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A row (row_id, doc_id, n_points, fp, sha) per document, and a row per verified group of two or more."""
+def _groups(docs: DataFrame, with_md5: bool = False) -> DataFrame:
+    """A row per document: row_id, doc_id, sha, and of verified groups of two or more their group_size, keep_id and keep_row."""
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = table.mapInArrow(_digests, "doc_id long, n_points long, fp long, sha binary, text_md5 string")
+    rows = table.mapInArrow(_digests(with_md5), "doc_id long, n_points long, fp long, sha binary, text_md5 string")
     rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "exact-rows")
     repeated = materialize(repeated_fingerprints(rows).select("fp"), "exact-fingerprints")
     few = repeated.count() <= BROADCAST_FINGERPRINTS
@@ -188,14 +212,12 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mine = rows.join(routed, "fp", "left_semi").withColumn("part", salt(64, "row_id"))
     picked = mine.groupBy("sha", "part").agg(best).groupBy("sha").agg(F.max("best").alias("best"))
     groups = verified.join(picked, "sha").select("sha", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"))
-    return rows, groups
+    return joined_by_size(rows, materialize(groups, "exact-groups"), "sha", "group_size", rows.count())
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows, groups = _groups(docs)
-    out = rows.join(groups, "sha", "left")
-    return out.select(
+    return _groups(docs).select(
         "doc_id",
         F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -206,6 +228,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without their exact copies, in docs' own columns; one row of each group stays."""
-    rows, groups = _groups(docs)
     kept = F.coalesce("keep_row", F.col("row_id")) == F.col("row_id")
-    return keep_rows(docs, rows.join(groups, "sha", "left").select("doc_id", "text_md5", kept.alias("kept")))
+    return keep_rows(docs, _groups(docs, with_md5=True).select("doc_id", "text_md5", kept.alias("kept")))
