@@ -145,6 +145,67 @@ def test_depth_keeps_the_recall():
     assert promise(d) >= forest.recall and (d == forest.depth or promise(d + 1) < forest.recall)
 
 
+@pytest.mark.parametrize("values", [2, 30])
+def test_tries_hold_the_nodes_of_every_depth(spark, monkeypatch, values):
+    """Few digit values make large nodes, which reach over several tasks."""
+    monkeypatch.setattr(ngram_join, "ROWS_PER_TASK", 20)
+    rng = np.random.default_rng(values)
+    forest = ngram_join.Forest(trees=2, depth=8)
+    digits = rng.integers(0, values, (80, 16)).astype("<u2")
+    digits[40:] = np.where(rng.random((40, 16)) < 0.1, digits[40:], digits[:40])
+    digits[1:20] = digits[0]
+    frame = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(digits)], "rep long, signature binary")
+    rows = [r.asDict() for r in ngram_join._grow(frame, forest).collect()]
+    for tree in range(2):
+        for x in range(forest.shortest, 9):
+            found = collections.defaultdict(set)
+            for r in rows:
+                if r["tree"] == tree:
+                    found[r[f"d{x}"]].add(r["rep"])
+            expected = collections.defaultdict(set)
+            for i, d in enumerate(digits):
+                expected[d[8 * tree : 8 * tree + x].tobytes()].add(i)
+            several = lambda groups: {frozenset(g) for g in groups.values() if len(g) > 1}
+            assert several(found) == several(expected)
+
+
+def test_prefixes_are_shortened_until_the_recall(spark):
+    """Six trees find most links of a group near the threshold only by shorter prefixes."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for k in range(12):
+            words = base[:]
+            for at in rng.sample(range(0, 100, 6), rng.randint(0, 2)):
+                words[at] = f"x{rng.random()}"
+            rows.append((100 * g + k, " ".join(words), "a"))
+    expected, _ = links_of(rows)
+    forest = ngram_join.Forest(trees=6, recall=0.8)
+    assert forest.matched_depth() > forest.shortest
+    found = {r.doc_id: r.n_links for r in ngram_join.jaccard_join(docs(spark, rows), forest).collect()}
+    assert all(found[i] <= n for (i, _, _), n in zip(rows, expected))
+    assert sum(found.values()) >= 0.98 * sum(expected) > 0
+
+
+def test_join_of_the_table_finds_all_links(spark):
+    """The query itself on 1,000 documents, against an inverted index over all shingles."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = [shingles(t) for _, t in rows]
+    where = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            where[x].append(i)
+    both = collections.Counter(p for holders in where.values() for p in itertools.combinations(holders, 2))
+    expected = collections.Counter({i: 0 for i, _ in rows})
+    for (a, b), n in both.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            expected[rows[a][0]] += 1
+            expected[rows[b][0]] += 1
+    found = queries.QUERIES["op5_ngram_join"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: r.n_links for r in found} == dict(expected) and sum(expected.values()) > 100
+
+
 def test_words_do_not_depend_on_segments(monkeypatch):
     text = (" ".join(f"wörd{i}" for i in range(500)) + "\n\n tail").encode()
     whole = ngram_join.shingle_set(text)
@@ -160,7 +221,26 @@ def test_short_words_hash_alike_before_and_after_longer_ones():
     assert fresh["shingle_set"](b"a b c d e f").tolist() == first
 
 
-def test_embeddings(spark, monkeypatch):
+def test_embeddings_of_the_table(spark):
+    """The query itself, whose labels have several cells each, against brute force."""
+    rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "label", "embedding").collect()]
+    vectors = spark.createDataFrame([(i, 0, len(e), np.array(e, "<f8").tobytes(), 1) for i, _, e in rows if e], "rep long, label long, dim int, vector binary, copies long")
+    cells = embedding_dedup._members(vectors, 0.2).groupBy("label").agg(F.countDistinct("c").alias("cells")).collect()
+    assert min(r.cells for r in cells) > 1
+    unit = {i: (label, np.array(e, float) / np.linalg.norm(e)) for i, label, e in rows if e and label is not None and all(x is not None and math.isfinite(x) for x in e) and any(e)}
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    for threshold, found in ((0.98, queries.QUERIES["op2_embedding_dedup"](spark, "/root/testdata/sf0.01")), (0.3, embedding_dedup.embedding_dedup(table, 0.3))):
+        expected = {i: 0 for i, _, _ in rows}
+        for (i, (a, x)), (j, (b, y)) in itertools.combinations(unit.items(), 2):
+            if a == b and len(x) == len(y) and float(x @ y) >= threshold:
+                expected[i] += 1
+                expected[j] += 1
+        assert {r.vec_id: r.n_links for r in found.collect()} == expected
+    assert sum(expected.values()) > 20
+
+
+@pytest.mark.parametrize("roots", [6, 1])
+def test_embeddings(spark, monkeypatch, roots):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 8))
     rows = []
@@ -168,8 +248,9 @@ def test_embeddings(spark, monkeypatch):
         v = base[k % 40] + rng.normal(size=8) * 0.12 * (k >= 40)
         rows.append((k, [float(x) for x in v], int(k % 2)))
     rows += [(200, rows[0][1], 0), (201, [2 * x for x in rows[0][1]], 0), (202, rows[0][1], None), (203, None, 0), (204, [0.0] * 8, 0), (205, [float("nan")] * 8, 0), (206, [None] * 8, 0), (207, [], 0), (208, [1.0, 2.0], 0), (209, [2.0, 4.0], 0), (None, [1.0, 2.0], 0), (211, [1e200] * 8, 1), (212, [1e-200] * 8, 1)]
-    monkeypatch.setattr(embedding_dedup, "PER_CELL", 8)
+    monkeypatch.setattr(embedding_dedup, "ROOTS_PER_CELL", roots)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 16)
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, component_id string")
     found = embedding_dedup.embedding_dedup(frame).collect()
     ok = lambda v: bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
@@ -283,6 +364,13 @@ def test_words_encode_like_whole_texts(remembered):
     assert [np.frombuffer(f, own.dtype).tolist() for f in found] == [w.tolist() for w in whole_ids(texts)]
 
 
+def test_texts_split_in_parts_encode_alike(monkeypatch):
+    monkeypatch.setattr(tokens, "AT_ONCE", 7)
+    texts = odd_texts()
+    own = tokens.WordEncoder(tokens.default_tokenizer())
+    assert [np.frombuffer(f, own.dtype).tolist() for f in own.encode(texts)] == [w.tolist() for w in whole_ids(texts)]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for values in ([], [0], [5, 5, 5], list(range(1000)), np.cumsum(rng.integers(0, 5000, 3000)).tolist(), [0, 2**62], [0] * 300 + [10**9]):
@@ -295,7 +383,9 @@ def test_elias_fano():
 
 def test_token_files(spark, odd):
     found = token_files.read_digests(token_files.write_token_files(docs(spark, odd), tokens.default_tokenizer())).collect()
-    order = sorted(odd, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    texts = sorted({r[1] for r in odd if r[1] is not None})
+    tie = {r.t: r.h for r in spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(odd, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
     start, expected = 0, []
     for (i, _, _), ids in zip(order, whole_ids([r[1] or "" for r in order])):
         ids = np.append(ids, 0).astype("<u4")
@@ -305,6 +395,32 @@ def test_token_files(spark, odd):
     assert token_files.read_digests(token_files.write_token_files(docs(spark, odd).limit(0), tokens.default_tokenizer())).count() == 0
 
 
+def test_token_files_of_few_ids(spark, odd, monkeypatch):
+    rows = docs(spark, odd)
+    whole = sorted(map(tuple, token_files.read_digests(token_files.write_token_files(rows, tokens.default_tokenizer())).collect()), key=str)
+    monkeypatch.setattr(token_files, "FILES_PER_SUM", 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        manifest = token_files.write_token_files(rows, tokens.default_tokenizer())
+        assert manifest.count() == 3
+        assert sorted(map(tuple, token_files.read_digests(manifest).collect()), key=str) == whole
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_writer_begins_new_files(spark, odd, monkeypatch):
+    batch = spark.createDataFrame([(i, t) for i, t, _ in odd if i is not None], "doc_id long, text string").orderBy("doc_id").toArrow().to_batches()
+    put = {}
+    monkeypatch.setattr(token_files, "_put", put.__setitem__)
+    monkeypatch.setattr(token_files, "DOCUMENTS_PER_FILE", 3)
+    monkeypatch.setattr(token_files, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda s: 1, "taskAttemptId": lambda s: 2})())}))
+    rows = [r for b in token_files._writer("x:", tokens.default_tokenizer())(iter(batch)) for r in b.to_pylist()]
+    files = [token_files.TokenFile(put[r["path"]]) for r in rows]
+    assert [len(f) for f in files] == [r["n_documents"] for r in rows] and max(map(len, files)) == 3 and len(files) == len(put) == 4
+    assert [i for f in files for i in f.doc_ids] == [i for b in batch for i in b["doc_id"].to_pylist()]
+    assert [d.tolist() for f in files for d in map(f.document, range(len(f)))] == [[*w.tolist(), 0] for w in whole_ids([t or "" for b in batch for t in b["text"].to_pylist()])]
+
+
 def test_one_document_of_a_file():
     data = token_files.TokenFile.encode([None, -5, 7, 7], [np.arange(n, dtype="<u2").tobytes() for n in (3, 1, 0, 900)], np.dtype("<u2"))
     file = token_files.TokenFile(data)
@@ -405,7 +521,7 @@ def test_ordinal_regression_finds_grades():
     x = rng.normal(size=(3000, 3))
     score = x @ np.array([3.0, -2.0, 0.0]) + rng.logistic(size=3000)
     grades = np.searchsorted([0, 2, 4], score)
-    w, t = toxicity.fit_ordinal(x, grades)
+    w, t = toxicity.fit_ordinal(toxicity.Sparse.of(x), grades)
     assert (np.diff(t) > 0).all() and abs(w[0] / w[1] + 1.5) < 0.25 and abs(w[2]) < 0.3
 
 
