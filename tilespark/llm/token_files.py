@@ -1,15 +1,21 @@
 """Token ids in binary files, with Elias-Fano coded document boundaries.
 
-Documents are dealt into shards by ranges of doc_id; each task encodes its
-documents and writes one file: a head, the doc_ids and the document boundaries
-as two Elias-Fano sequences with select samples, and the concatenated ids as
-narrow little-endian integers. A boundary costs 2 + log2(ids per document)
-bits, and no table of 64-bit offsets exists. Files appear by a rename, so a
-task that runs again replaces its own file with the same bytes.
+Documents are put in ascending order of doc_id by ranges; each task encodes its
+range and writes files of a bounded number of ids: a head, the doc_ids and the
+document boundaries as two Elias-Fano sequences with select samples, and the
+concatenated ids as narrow little-endian integers. A boundary costs
+2 + log2(ids per document) bits, and no table of 64-bit offsets exists. A file's
+name holds the attempt that wrote it, and the manifest, which Spark commits,
+names the files that count; so nothing is renamed and a task may run again.
+
+What is read back comes from the files alone: a file's number of ids is the last
+boundary, and a document lies between two boundaries found by select.
 
 Defined cases: a null text is empty and has its end id alone; documents of a
-null doc_id come first; of rows that share a doc_id the smaller text comes
-first; an empty table gives no files. Other columns are ignored.
+null doc_id come first; rows that share a doc_id come in the order of a hash of
+their text, then of where they were read, so that no id is one task's; a text of
+any length is one document of one file; an empty table gives no files. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +32,14 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch_path
 from .tokens import END_ID, encoder
 
-#: Documents of one shard, about; their ids are held by one task.
-DOCUMENTS_PER_SHARD = 1 << 13
-MAGIC = b"TSTOKEN1"
+#: Bytes of text that one task encodes, about.
+TEXT_PER_TASK = 1 << 27
+#: Bytes of ids, and documents, after which a task begins the next file.
+IDS_PER_FILE, DOCUMENTS_PER_FILE = 1 << 25, 1 << 18
+#: Files that one task reads back, and files whose sizes are summed in one task.
+FILES_PER_TASK, FILES_PER_SUM = 4, 1 << 16
+MAGIC = b"TSTOKEN2"
+HEAD = 48
 #: One bits of the upper half between two select samples.
 SAMPLE = 256
 
@@ -89,27 +100,40 @@ class EliasFano:
 
 
 class TokenFile:
-    """One shard: doc_ids, boundaries and ids."""
+    """One file: doc_ids, boundaries and ids. `data` may end before the ids where only boundaries are asked for."""
 
     def __init__(self, data: bytes):
         view = memoryview(data)
-        if bytes(view[:8]) != MAGIC:
+        width, self.n_nulls, self._base, first, second = self.head(data)
+        self._known, _ = EliasFano.from_buffer(view[HEAD : HEAD + first])
+        self.boundaries, _ = EliasFano.from_buffer(view[HEAD + first : HEAD + first + second])
+        self._ids = view[HEAD + first + second :].cast("B")
+        self._dtype = np.dtype(f"<u{width}")
+
+    @staticmethod
+    def head(data: bytes) -> tuple[int, ...]:
+        """Bytes of an id, null doc_ids, the least doc_id, and the lengths of the two sequences."""
+        if bytes(data[:8]) != MAGIC:
             raise ValueError("not a token file")
-        width, self.n_nulls, base = (int(x) for x in np.frombuffer(view, "<i8", 3, 8))
-        at = 32
-        ids, size = EliasFano.from_buffer(view[at:])
-        at += size
-        self.boundaries, size = EliasFano.from_buffer(view[at:])
-        at += size
-        self.ids = np.frombuffer(view, np.dtype(f"<u{width}"), offset=at)
-        known = (ids.values() + np.uint64(base & (2**64 - 1))).view(np.int64)
-        self.doc_ids = [None] * self.n_nulls + known.tolist()
+        return tuple(int(x) for x in np.frombuffer(data, "<i8", 5, 8))
 
     def __len__(self) -> int:
-        return len(self.doc_ids)
+        return self.boundaries.n - 1
+
+    @property
+    def n_ids(self) -> int:
+        return self.boundaries.select(len(self))
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        known = (self._known.values() + np.uint64(self._base & (2**64 - 1))).view(np.int64)
+        return [None] * self.n_nulls + known.tolist()
+
+    def between(self, first: int, last: int) -> np.ndarray:
+        return np.frombuffer(self._ids, self._dtype, last - first, first * self._dtype.itemsize)
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.boundaries.select(i) : self.boundaries.select(i + 1)]
+        return self.between(self.boundaries.select(i), self.boundaries.select(i + 1))
 
     @staticmethod
     def encode(doc_ids: list[int | None], pieces: list[bytes], dtype: np.dtype) -> bytes:
@@ -117,9 +141,9 @@ class TokenFile:
         known = np.array([x for x in doc_ids if x is not None], np.int64)
         base = int(known[0]) if len(known) else 0
         ends = np.concatenate([[0], np.cumsum([len(p) // dtype.itemsize for p in pieces], dtype=np.int64)])
-        head = np.array([dtype.itemsize, len(doc_ids) - len(known), base], "<i8").tobytes()
-        offsets = known.view(np.uint64) - np.uint64(base & (2**64 - 1))
-        return b"".join([MAGIC, head, EliasFano.build(offsets).to_bytes(), EliasFano.build(ends).to_bytes(), *pieces])
+        coded = [EliasFano.build(x).to_bytes() for x in (known.view(np.uint64) - np.uint64(base & (2**64 - 1)), ends)]
+        head = np.array([dtype.itemsize, len(doc_ids) - len(known), base, *map(len, coded)], "<i8").tobytes()
+        return b"".join([MAGIC, head, *coded, *pieces])
 
 
 def _store(uri: str):
@@ -131,60 +155,84 @@ def _store(uri: str):
 def _put(uri: str, data: bytes) -> None:
     store, path = _store(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    draft = f"{path}.{TaskContext.get().taskAttemptId()}.draft"
-    with store.open_output_stream(draft) as f:
+    with store.open_output_stream(path) as f:
         f.write(data)
-    store.move(draft, path)
 
 
-def _get(uri: str) -> bytes:
+def open_file(uri: str, with_ids: bool = True) -> TokenFile:
     store, path = _store(uri)
-    with store.open_input_stream(path) as f:
-        return f.read()
+    with store.open_input_file(path) as f:
+        head = f.read(HEAD)
+        return TokenFile(head + (f.read() if with_ids else f.read(sum(TokenFile.head(head)[3:]))))
 
 
 def _writer(folder: str, tokenizer_file: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer_file)
         end = np.array([END_ID], tokens.dtype).tobytes()
+        part, attempt, n_files = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         doc_ids: list[int | None] = []
         pieces: list[bytes] = []
+        size = 0
+
+        def put() -> pa.RecordBatch:
+            path = f"{folder}/{part:08d}-{n_files:06d}-{attempt}.tokens"
+            _put(path, TokenFile.encode(doc_ids, pieces, tokens.dtype))
+            return pa.RecordBatch.from_pydict({"part": [part], "nth": [n_files], "path": [path], "n_documents": [len(doc_ids)]})
+
         for b in batches:
-            doc_ids += b["doc_id"].to_pylist()
-            pieces += [x + end for x in tokens.encode([t or "" for t in b["text"].to_pylist()])]
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), tokens.encode(text.as_py() or "" for text in b["text"])):
+                doc_ids.append(doc_id)
+                pieces.append(ids + end)
+                size += len(ids) + len(end)
+                if size >= IDS_PER_FILE or len(doc_ids) >= DOCUMENTS_PER_FILE:
+                    yield put()
+                    n_files, size = n_files + 1, 0
+                    doc_ids.clear()
+                    pieces.clear()
         if doc_ids:
-            shard = TaskContext.get().partitionId()
-            path = f"{folder}/shard-{shard:08d}.tokens"
-            _put(path, TokenFile.encode(doc_ids, pieces, tokens.dtype))
-            n = sum(map(len, pieces)) // tokens.dtype.itemsize
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_documents": [len(doc_ids)], "n_ids": [n]})
+            yield put()
 
     return write
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None = None) -> DataFrame:
-    """Write docs (doc_id, text) as token files. Returns the manifest: shard, path, n_documents, n_ids."""
-    folder = folder or scratch_path(docs.sparkSession, "tokens")
-    shards = max(docs.count() // DOCUMENTS_PER_SHARD + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Write docs (doc_id, text) as token files. Returns the manifest in the order of the files: part, nth, path, n_documents."""
+    spark = docs.sparkSession
+    folder = folder or scratch_path(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(rows.mapInArrow(_writer(folder, tokenizer_file), "shard long, path string, n_documents long, n_ids long"), "token-manifest")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(size // TEXT_PER_TASK + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ["doc_id", "_tie", "_row"]
+    rows = rows.withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return materialize(rows.mapInArrow(_writer(folder, tokenizer_file), "part long, nth long, path string, n_documents long"), "token-manifest")
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.append_column("n_ids", pa.array([open_file(p, with_ids=False).n_ids for p in b["path"].to_pylist()], pa.int64()))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, first in zip(b["path"].to_pylist(), b["first"].to_pylist()):
-            file = TokenFile(_get(path))
-            bounds = file.boundaries.values().astype(np.int64)
-            wide = file.ids.astype("<u4")
-            crcs = [zlib.crc32(wide[a:z]) for a, z in zip(bounds[:-1], bounds[1:])]
+            file = open_file(path)
+            bounds = np.array([file.boundaries.select(i) for i in range(len(file) + 1)], np.int64)
+            crcs = [zlib.crc32(file.between(a, z).astype("<u4")) for a, z in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(bounds[:-1] + first), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
     """A row per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
-    # One row per shard: its running sum is small.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.select("shard", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
-    tasks = max(1, manifest.count())
+    count = manifest.count()
+    tasks = max(1, min(count, max(count // FILES_PER_TASK, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    files = manifest.select("part", "nth", "path").repartition(tasks)
+    files = materialize(files.mapInArrow(_sizes, "part long, nth long, path string, n_ids long").withColumn("run", F.floor(F.col("part") / FILES_PER_SUM)), "token-sizes")
+    # Sums within runs of parts, and before each run: one row per run.
+    runs = files.groupBy("run").agg(F.sum("n_ids").alias("n_run"))
+    earlier = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("run", F.coalesce(F.sum("n_run").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("run").orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.join(F.broadcast(runs), "run").select("path", (F.col("before") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("first"))
     return files.repartition(tasks).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
