@@ -45,12 +45,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, connected_components, discard, joined_by_size, keep_rows, least_reached, materialize, runs
 
-#: Candidate rows (of five numbers and 16 bytes each) up to which they are sent to the scan; beyond it the texts are shuffled to them.
+#: Candidate rows (of two numbers, a flag and 16 bytes each) up to which they are sent to the scan; beyond it the texts are shuffled to them.
 BROADCAST_CANDIDATES = 1 << 17
 #: Rows of a trie that one task sorts, about.
 ROWS_PER_TASK = 1 << 20
 #: Sets of a node or group that one task compares with each other; beyond it blocks of about twice the root of their number.
-NODE_BLOCK, GROUP_BLOCK = 512, 64
+NODE_BLOCK, GROUP_BLOCK = 256, 64
 #: Bytes of text that are hashed at once.
 SEGMENT = 1 << 20
 #: Shingles that are columns of an incidence matrix at once.
@@ -275,11 +275,18 @@ def _in_blocks(members: DataFrame, group: str, least_block: int) -> DataFrame:
     return rows.drop("blocks", "with", "m")
 
 
-def _pairs(tries: DataFrame, sets: DataFrame, forest: Forest, depth: int, active: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) between sets of a node at this depth that look alike; of nodes with an active set only, if given."""
+def _pairs(tries: DataFrame, sets: DataFrame, forest: Forest, depth: int, state: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between sets of a node at this depth that look alike.
+
+    With a state (rep, component, active), only of nodes that hold sets of several
+    components, an active one among them: within a component all are compared.
+    """
     rows = tries.select(F.xxhash64("tree", f"d{depth}").alias("node"), "rep")
-    if active is not None:
-        rows = rows.join(rows.join(active, "rep", "left_semi").select("node").distinct(), "node", "left_semi")
+    if state is not None:
+        rows = rows.join(state, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("active", F.lit(False)).alias("active"))
+        several = rows.groupBy("node").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.bool_or("active").alias("any"))
+        several = several.where(F.col("any") & (F.col("first") < F.col("last"))).select("node")
+        rows = materialize(rows.select("node", "rep").join(several, "node", "left_semi"), "ngram-several")
     # Near copies share the same nodes in many trees: equal nodes are looked at once.
     nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("sum2"))
     nodes = nodes.where("m > 1").groupBy("m", "sum", "sum2").agg(F.min("node").alias("node")).select("node", "m")
@@ -370,9 +377,9 @@ def _verified(table: DataFrame, sets: DataFrame, first: DataFrame, groups: DataF
     # A null doc_id is 0 in the key and told apart by the flag; the set's key drops other rows of the same doc_id.
     keyed = table.withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
     wanted_key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
-    texts = keyed.join(wanted.select("rep", "copies", "component", "m", "set_key", *wanted_key), ["_id", "_null"])
-    texts = texts.select("text", "set_key", "rep", "copies", "component", "m")
-    found = texts.mapInArrow(_shingle_rows(forest.n), "rep long, copies long, component long, m long, shingles binary").dropDuplicates(["rep"])
+    texts = keyed.join(wanted.select("rep", "set_key", *wanted_key), ["_id", "_null"]).select("text", "set_key", "rep")
+    found = texts.mapInArrow(_shingle_rows(forest.n), "rep long, shingles binary").dropDuplicates(["rep"])
+    found = found.join(members.select("rep", "copies", "component", "m"), "rep")
     keys = ["component", "lo", "hi"]
     placed = _in_blocks(found, "component", GROUP_BLOCK).select(*keys, "block", "rep", "copies", "shingles")
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -407,10 +414,11 @@ def _classes(docs: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
     verified = _verified(table, sets, first, groups, forest)
     while depth > forest.shortest:
         depth -= 1
-        active = materialize(_needs(verified, forest).where(F.col("depth") <= depth).select("rep"), "ngram-active")
-        if active.isEmpty():
+        active = _needs(verified, forest).select("rep", (F.col("depth") <= depth).alias("active"))
+        state = materialize(groups.withColumnRenamed("id", "rep").join(active, "rep", "left"), "ngram-state")
+        if state.where("active").isEmpty():
             break
-        edges = _pairs(tries, sets, forest, depth, active)
+        edges = _pairs(tries, sets, forest, depth, state)
         name = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"{c}_group"))
         across = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
         across = materialize(across.where("a <> b").distinct(), "ngram-across")
