@@ -115,7 +115,7 @@ def test_gzip():
 
 
 def test_header_and_directory():
-    header = P.Header(root_length=5, addressed=9, min_zoom=2, max_zoom=4, min_lon=-48.66, min_lat=-27.01, max_lon=-48.61, max_lat=-26.97, center_zoom=3, center_lon=-48.6, center_lat=-27.0)
+    header = P.Header(root_length=5, addressed=9, min_zoom=2, max_zoom=4, min_lon=-70.7, min_lat=-33.5, max_lon=-70.65, max_lat=-33.46, center_zoom=3, center_lon=-70.6, center_lat=-33.5)
     data = header.to_bytes()
     assert len(data) == 127 and data[:7] == b"PMTiles" and P.Header.from_bytes(data) == header
     for bad in (data[:100], b"x" * 127, data[:7] + b"\2" + data[8:]):

@@ -6,7 +6,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def changes(reader):
-    return reader.select(F.col("event_id").alias("id"), (F.lit(-27.0) + F.col("user_id") % 50 * 0.001).alias("lat"), (F.lit(-48.6) + F.col("event_id") % 50 * 0.001).alias("lon"), F.col("ts").cast("timestamp").alias("changed_at"))
+    return reader.select(F.col("event_id").alias("id"), (F.lit(-33.5) + F.col("user_id") % 50 * 0.001).alias("lat"), (F.lit(-70.7) + F.col("event_id") % 50 * 0.001).alias("lon"), F.col("ts").cast("timestamp").alias("changed_at"))
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .schema import DELIVERY_ROADS, OMT_PLACES
 
-AREA = (-48.66, -27.01, -48.61, -26.97)
+AREA = (-70.7, -33.5, -70.65, -33.46)
 
 ROADS = [*DELIVERY_ROADS, "proposed", "corridor", None]
 PLACES = [*OMT_PLACES, "farm", None]
@@ -26,8 +26,8 @@ STATEMENTS = {
     # A trajectory per user: a way whose nodes are the user's events in order.
     "fx_vertices": """
 SELECT event_id AS id, user_id AS way_id, pos,
-       -486600000 + (user_id * 7919 + pos * 10007) % 500000 AS lon_e7,
-       -270100000 + (user_id * 104729 + pos * pos * 613) % 400000 AS lat_e7
+       -707000000 + (user_id * 7919 + pos * 10007) % 500000 AS lon_e7,
+       -335000000 + (user_id * 104729 + pos * pos * 613) % 400000 AS lat_e7
 FROM (SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS pos FROM events) AS e""",
     "fx_nodes": "SELECT id, lon_e7, lat_e7, lon_e7 * 1e-7 AS lon, lat_e7 * 1e-7 AS lat FROM fx_vertices",
     "fx_ways": f"""
@@ -39,7 +39,7 @@ SELECT id, n, closed, {_pick("id", ROADS)} AS highway,
 FROM (SELECT way_id AS id, count(*) AS n, false AS closed FROM fx_vertices GROUP BY way_id) AS w""",
     # A square per customer: a closed way of five node ids, its tags by turns.
     "fx_rings": """
-SELECT c_custkey AS id, -486600000 + (c_custkey * 7919) % 500000 AS lon_e7, -270100000 + (c_custkey * 104729) % 400000 AS lat_e7, 500 + (c_custkey % 50) * 400 AS half_e7,
+SELECT c_custkey AS id, -707000000 + (c_custkey * 7919) % 500000 AS lon_e7, -335000000 + (c_custkey * 104729) % 400000 AS lat_e7, 500 + (c_custkey % 50) * 400 AS half_e7,
        CASE c_custkey % 6 WHEN 0 THEN 'water' WHEN 1 THEN 'wood' WHEN 2 THEN 'lagoon' END AS nature,
        CASE c_custkey % 8 WHEN 3 THEN 'reservoir' END AS landuse, CASE c_custkey % 9 WHEN 4 THEN 'pond' END AS water,
        CASE c_custkey % 2 WHEN 1 THEN 'yes' END AS building,
@@ -51,7 +51,7 @@ FROM customer""",
 SELECT r.id, k.k, r.lon_e7 + CASE WHEN k.k IN (0, 3, 4) THEN -r.half_e7 ELSE r.half_e7 END AS lon_e7, r.lat_e7 + CASE WHEN k.k IN (0, 1, 4) THEN -r.half_e7 ELSE r.half_e7 END AS lat_e7
 FROM fx_rings AS r CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS k(k)""",
     "fx_tagged": f"""
-SELECT s_suppkey AS id, -48.66 + (s_suppkey % 97) * 0.0005 AS lon, -27.01 + (s_suppkey % 79) * 0.0005 AS lat,
+SELECT s_suppkey AS id, -70.7 + (s_suppkey % 97) * 0.0005 AS lon, -33.5 + (s_suppkey % 79) * 0.0005 AS lat,
        {_pick("s_suppkey", PLACES)} AS place, CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE s_name END AS name,
        CASE s_suppkey % 6 WHEN 0 THEN 'crossing' WHEN 1 THEN 'stop' WHEN 2 THEN 'give_way' WHEN 3 THEN 'traffic_signals' WHEN 4 THEN 'bus_stop' END AS highway,
        CASE s_suppkey % 5 WHEN 0 THEN 'traffic_signals' WHEN 1 THEN 'zebra' END AS crossing, CASE s_suppkey % 4 WHEN 0 THEN 'yes' END AS crossing_signals,

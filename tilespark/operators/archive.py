@@ -69,8 +69,3 @@ def archive_counts(found: DataFrame) -> DataFrame:
     contents = found.groupBy("offset").agg(F.max("length").alias("length"), F.sum("run_length").alias("tiles"), F.count(F.lit(1)).alias("entries"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return contents.agg(total("tiles").alias("addressed"), total("entries").alias("entries"), F.count(F.lit(1)).alias("contents"), total("length").alias("tile_bytes"))
-
-
-def check_ascending(tile_id: Column, before: Column) -> Column:
-    """tile_id, or an error if ids do not rise."""
-    return F.when(before.isNull() | (tile_id > before), tile_id).otherwise(F.raise_error(F.lit("tile ids must rise")).cast("long"))

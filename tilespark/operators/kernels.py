@@ -145,6 +145,10 @@ def packed_field(number: int, values: list[int]) -> bytes:
     return bytes_field(number, b"".join(map(varint, values))) if values else b""
 
 
+def packed_sint_field(number: int, values: list[int]) -> bytes:
+    return packed_field(number, [(v << 1) ^ (v >> 63) for v in values])
+
+
 #: Field numbers of the vector tile format (fixed values).
 LAYER = {"name": 1, "features": 2, "keys": 3, "values": 4, "extent": 5, "version": 15}
 FEATURE = {"id": 1, "tags": 2, "type": 3, "geometry": 4}

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import bound
 from ..operators import features as J
 from ..operators.tiles import Area, bin_features, encode_tiles
 from ..schema import TileSchema
@@ -37,28 +36,43 @@ class Report:
     archive_bytes: int
 
 
-def source_features(extract: Extract, schema: TileSchema) -> DataFrame:
-    """Ways and relations in node-id space: source, ordinal, id, outer, inner and the class columns."""
+@dataclass(frozen=True)
+class Sources:
+    """What an extract holds for a schema: features in node-id space, the distinct node ids that kept ways and members of kept relations refer to, and the nodes that are referred to or drawn."""
+
+    features: DataFrame
+    wanted: DataFrame
+    nodes: DataFrame
+
+
+def read_sources(extract: Extract, schema: TileSchema, say: Callable[[str], None] = lambda stage: None) -> Sources:
+    """Each stage is a stored table, and is said when it begins; nodes are scanned once."""
+    say("reading relations")
+    kept = stored(J.kept_relations(extract.relations, schema), "relations")
+    say("reading ways")
+    ways = stored(J.classify_ways(extract.ways, schema), "ways")
+    members = stored(J.member_ways(extract.ways, kept).select("id", "node_ids", "ordinal"), "members")
+    say("assembling areas")
     none = F.array().cast("array<array<bigint>>")
-    ways = J.classify_ways(extract.ways, schema).join(extract.ways.select("id", "ordinal"), "id")
-    ways = ways.select(F.lit(0).alias("source"), "ordinal", "id", F.array("node_ids").alias("outer"), none.alias("inner"), *J.CLASSES)
-    areas = J.assemble_relations(extract.relations, J.member_ways(extract.ways, extract.relations), schema)
-    areas = areas.join(extract.relations.select("id", "ordinal"), "id")
-    return ways.unionByName(areas.select(F.lit(1).alias("source"), "ordinal", "id", "outer", "inner", *J.CLASSES))
+    features = ways.select(F.lit(0).alias("source"), "ordinal", "id", F.array("node_ids").alias("outer"), none.alias("inner"), *J.CLASSES)
+    areas = J.assemble_relations(kept, members)
+    features = stored(features.unionByName(areas.select(F.lit(1).alias("source"), "ordinal", "id", "outer", "inner", *J.CLASSES)), "features")
+    say("reading nodes")
+    ids = ways.select(F.explode("node_ids").alias("node_id")).union(members.select(F.explode("node_ids").alias("node_id")))
+    wanted = stored(J.referenced_nodes(ids), "wanted")
+    return Sources(features, wanted, stored(J.needed_nodes(J.classify_nodes(extract.nodes, schema), wanted), "nodes"))
 
 
-def point_features(extract: Extract, schema: TileSchema) -> DataFrame | None:
-    if not schema.reads_nodes:
-        return None
-    rows = bound(extract.nodes.where(F.size("tags") > 0), "_c", schema.node(F.col("tags"))).where("_c is not null")
-    return rows.select(F.lit(2).alias("source"), "ordinal", "id", "lon", "lat", "_c.*")
+def node_counts(sources: Sources) -> tuple[int, int]:
+    """Node ids that are referred to, and those of them that the extract has."""
+    return sources.wanted.count(), sources.nodes.where("wanted").select("id").distinct().count()
 
 
-def tile_features(extract: Extract, schema: TileSchema, area: Area, buffer: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The binned features, and the features in node-id space that they come from."""
-    found = stored(source_features(extract, schema), "features")
-    shapes = J.resolve(found, J.last_written(extract.nodes))
-    return bin_features(shapes, point_features(extract, schema), area, schema, buffer), found
+def tile_features(sources: Sources, schema: TileSchema, area: Area, buffer: int | None = None) -> DataFrame:
+    """The binned features."""
+    shapes = J.resolve(sources.features, J.last_written(sources.nodes.where("wanted")))
+    points = sources.nodes.where("_c is not null").select(F.lit(2).alias("source"), "ordinal", "id", "lon", "lat", "_c.*") if schema.reads_nodes else None
+    return bin_features(shapes, points, area, schema, buffer)
 
 
 def metadata(schema: TileSchema, area: Area) -> dict:
@@ -74,22 +88,25 @@ def metadata(schema: TileSchema, area: Area) -> dict:
 
 
 def build(extract: Extract, output: str, schema: TileSchema, area: Area, buffer: int | None = None, on_progress: Callable[[str], None] | None = None) -> Report:
-    """Write the archive of an extract; with the report of what went into it."""
+    """Write the archive of an extract; with the report of what went into it. Stages are said when they begin, `zoom N` when its tiles are written."""
     say = on_progress or (lambda stage: None)
-    for stage in ("reading relations", "reading ways", "assembling areas", "reading nodes"):
-        say(stage)
-    binned, found = tile_features(extract, schema, area, buffer)
+    sources = read_sources(extract, schema, say)
     say("building tiles")
-    tiles = stored(encode_tiles(binned, schema.extent), "tiles")
-    header = pmtiles.write_archive(tiles.select("tile_id", "tile"), output, metadata(schema, area), (area.min_lon, area.min_lat, area.max_lon, area.max_lat))
-    say("writing")
-    member_nodes = J.member_ways(extract.ways, extract.relations).select(F.explode("node_ids").alias("node_id"))
-    kept_nodes = found.where("source = 0").select(F.explode(F.flatten("outer")).alias("node_id"))
-    wanted = kept_nodes.union(member_nodes).distinct()
-    here = extract.nodes.select(F.col("id").alias("node_id")).distinct().withColumn("here", F.lit(1))
-    n = wanted.join(here, "node_id", "left").agg(F.count(F.lit(1)).alias("all"), F.count("here").alias("here")).first()
+    tiles = stored(encode_tiles(tile_features(sources, schema, area, buffer), schema.extent), "tiles")
+    zooms = iter(range(schema.min_zoom, schema.max_zoom + 1))
+    ahead = next(zooms, None)
+
+    def reach(zoom: int) -> None:
+        nonlocal ahead
+        while ahead is not None and ahead <= zoom:
+            say(f"zoom {ahead}")
+            ahead = next(zooms, None)
+
+    bounds = (area.min_lon, area.min_lat, area.max_lon, area.max_lat)
+    header = pmtiles.write_archive(tiles.select("tile_id", "tile"), output, metadata(schema, area), bounds, center_zoom=(schema.min_zoom + schema.max_zoom) // 2, on_zoom=reach)
+    reach(schema.max_zoom)
     t = tiles.agg(F.count(F.lit(1)).alias("tiles"), F.coalesce(F.sum("features"), F.lit(0)).alias("features")).first()
-    return Report(found.count(), n["all"], n["here"], t["tiles"], t["features"], header.min_zoom, header.max_zoom, header.data_offset + header.data_length)
+    return Report(sources.features.count(), *node_counts(sources), t["tiles"], t["features"], schema.min_zoom, schema.max_zoom, header.data_offset + header.data_length)
 
 
 def build_from_pbf(spark: SparkSession, path: str, output: str, schema: TileSchema, area: Area | None = None, **options) -> Report:

@@ -328,13 +328,13 @@ def zoom_expand(spark: SparkSession, sf: str) -> DataFrame:
     return T.expand_zooms(J.classify_ways(X.way_table(spark, sf), DeliverySchema()), 6, 15).select("id", "z")
 
 
-_Q_RANGE = f"{q_tile(q_x('lon'), 'z')} AS x, {q_tile(q_y('lat'), 'z')} AS y, {q_tile(q_x('(-48.64)::DOUBLE'), 'z')} AS x0, {q_tile(q_x('(-48.62)::DOUBLE'), 'z')} AS x1, {q_tile(q_y('(-26.98)::DOUBLE'), 'z')} AS y0, {q_tile(q_y('(-27.0)::DOUBLE'), 'z')} AS y1"
+_Q_RANGE = f"{q_tile(q_x('lon'), 'z')} AS x, {q_tile(q_y('lat'), 'z')} AS y, {q_tile(q_x('(-70.68)::DOUBLE'), 'z')} AS x0, {q_tile(q_x('(-70.66)::DOUBLE'), 'z')} AS x1, {q_tile(q_y('(-33.47)::DOUBLE'), 'z')} AS y0, {q_tile(q_y('(-33.49)::DOUBLE'), 'z')} AS y1"
 
 
 @query(f"{X.text('fx_nodes')} SELECT id, z FROM (SELECT id, z, {_Q_RANGE} FROM fx_nodes, {Q_ZOOMS}) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
 def area_filter(spark: SparkSession, sf: str) -> DataFrame:
     z = F.col("z")
-    x0, y0, x1, y1 = T.Area(-48.64, -27.0, -48.62, -26.98).tile_range(z)
+    x0, y0, x1, y1 = T.Area(-70.68, -33.49, -70.66, -33.47).tile_range(z)
     u = zooms(unit(nodes(spark, sf)))
     return u.where(S.tile_at(F.col("ux"), z).between(x0, x1) & S.tile_at(F.col("uy"), z).between(y0, y1)).select("id", "z")
 
@@ -401,11 +401,15 @@ def feature_union(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b)
 
 
-@query(f"""{X.text('fx_vertices', 'fx_rings', 'fx_members')} SELECT id AS node_id FROM fx_vertices UNION SELECT r.id * 4 + k FROM fx_rings r, range(4) AS ks(k) WHERE r.id IN (SELECT ref FROM fx_members WHERE type = 'way')""")
+#: Ways that relations refer to which the delivery schema keeps.
+_Q_KEPT_MEMBERS = "SELECT m.ref FROM fx_members m JOIN fx_relations r ON m.id = r.id WHERE m.type = 'way' AND r.type = 'multipolygon' AND r.nature IN ('water', 'bay', 'strait')"
+
+
+@query(f"""{X.text('fx_vertices', 'fx_rings', 'fx_members', 'fx_relations')} SELECT id AS node_id FROM fx_vertices UNION SELECT r.id * 4 + k FROM fx_rings r, range(4) AS ks(k) WHERE r.id IN ({_Q_KEPT_MEMBERS})""")
 def node_id_union(spark: SparkSession, sf: str) -> DataFrame:
     own = X.way_table(spark, sf).select(F.explode("node_ids").alias("node_id"))
-    members = J.member_ways(X.ring_table(spark, sf), X.relation_table(spark, sf)).select(F.explode("node_ids").alias("node_id"))
-    return own.union(members).distinct()
+    members = J.member_ways(X.ring_table(spark, sf), J.kept_relations(X.relation_table(spark, sf), DeliverySchema())).select(F.explode("node_ids").alias("node_id"))
+    return J.referenced_nodes(own.union(members))
 
 
 def q_ring(zoom: int = 14) -> str:
@@ -446,8 +450,8 @@ def lines(spark: SparkSession, sf: str, step: int = 0) -> DataFrame:
     return at.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "p"))), lambda v: v["p"]).alias("line"))
 
 
-#: The tile at zoom 13 that holds -48.635, -26.99.
-LINE_X, LINE_Y = 2989, 4734
+#: The tile at zoom 13 that holds -70.675, -33.48.
+LINE_X, LINE_Y = 2487, 4905
 
 
 def q_line(step: int = 0) -> str:
@@ -771,14 +775,21 @@ def gzip_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return blobs(spark, sf).select("tile_id", F.length(K.gzip(F.col("blob"))).cast("long").alias("bytes"))
 
 
-@query(f"""{X.text('fx_rings', 'fx_members', 'fx_relations')} SELECT
+_Q_WANTED = f"wanted AS (SELECT r.id * 4 + k AS node_id FROM fx_rings r, range(4) AS ks(k) WHERE r.nature IN ('water', 'bay', 'strait') OR r.id IN ({_Q_KEPT_MEMBERS}))"
+
+
+@query(f"""{X.text('fx_rings', 'fx_members', 'fx_relations')}, {_Q_WANTED} SELECT
 (SELECT count(*) FROM fx_rings WHERE nature IN ('water', 'bay', 'strait')) AS kept_ways,
-(SELECT 4 * count(*) FROM fx_rings WHERE nature IN ('water', 'bay', 'strait') OR id IN (SELECT ref FROM fx_members WHERE type = 'way')) AS referenced_nodes""")
+(SELECT count(*) FROM wanted) AS referenced_nodes, (SELECT count(*) FROM wanted WHERE node_id % 17 <> 0) AS resolved_nodes""")
 def build_report(spark: SparkSession, sf: str) -> DataFrame:
-    ways, relations = X.ring_table(spark, sf), X.relation_table(spark, sf)
-    kept = J.classify_ways(ways, DeliverySchema())
-    wanted = kept.select(F.explode("node_ids").alias("n")).union(J.member_ways(ways, relations).select(F.explode("node_ids").alias("n"))).distinct()
-    return kept.agg(F.count(F.lit(1)).alias("kept_ways")).crossJoin(wanted.agg(F.count(F.lit(1)).alias("referenced_nodes")))
+    """The builder's own counts, of rings and relations where each seventeenth node is missing."""
+    from .plans.build import Extract, node_counts, read_sources
+
+    at = X.frame(spark, sf, "fx_corners").where("k < 4").select((F.col("id") * 4 + F.col("k")).alias("id"), S.from_e7(F.col("lat_e7")).alias("lat"), S.from_e7(F.col("lon_e7")).alias("lon"))
+    tags = F.create_map().cast("map<string,string>").alias("tags")
+    sources = read_sources(Extract(at.where("id % 17 <> 0").select("id", "lat", "lon", tags, F.col("id").alias("ordinal")), X.ring_table(spark, sf), X.relation_table(spark, sf)), DeliverySchema())
+    referenced, resolved = node_counts(sources)
+    return spark.createDataFrame([(sources.features.where("source = 0").count(), referenced, resolved)], "kept_ways long, referenced_nodes long, resolved_nodes long")
 
 
 def _q_metadata() -> str:
@@ -789,7 +800,7 @@ def _q_metadata() -> str:
     return json.dumps(metadata(DeliverySchema(), AREA), ensure_ascii=False, separators=(",", ":"))
 
 
-@query("""SELECT 'delivery' AS name, 6::BIGINT AS minzoom, 15::BIGINT AS maxzoom, '-48.66,-27.01,-48.61,-26.97' AS bounds, 'road,water,signal' AS layers""")
+@query("""SELECT 'delivery' AS name, 6::BIGINT AS minzoom, 15::BIGINT AS maxzoom, '-70.7,-33.5,-70.65,-33.46' AS bounds, 'road,water,signal' AS layers""")
 def metadata_json(spark: SparkSession, sf: str) -> DataFrame:
     text = spark.range(1).select(F.lit(_q_metadata()).alias("m"))
     field = lambda name: F.get_json_object("m", f"$.{name}")

@@ -72,6 +72,10 @@ def classified(layer: str, kind: int, attrs: Column, min_zoom: Column, rank: Col
     return F.struct(F.lit(layer).alias("layer"), F.lit(kind).alias("type"), attrs.alias("attributes"), min_zoom.cast("int").alias("min_zoom"), rank.cast("int").alias("rank"))
 
 
+#: What `classified` gives. A schema's method that returns None classifies nothing.
+CLASSIFIED = "struct<layer:string,type:int,attributes:array<struct<key:string,kind:string,s:string,i:bigint,d:double,b:boolean>>,min_zoom:int,rank:int>"
+
+
 @dataclass(frozen=True)
 class Layer:
     id: str

@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip as _gzip
 import json
 import struct
+from collections.abc import Callable
 from dataclasses import astuple, dataclass, fields
 from enum import IntEnum
 
@@ -201,8 +202,89 @@ def zoom_of(tile_id: int) -> int:
     raise ValueError("the tile id is beyond the last zoom")
 
 
-def write_archive(tiles: DataFrame, path: str, metadata: dict, bounds: tuple[float, float, float, float] = (-180.0, -85.0, 180.0, 85.0), internal: Compression = Compression.GZIP, compression: Compression = Compression.GZIP, compressed: bool = False, tile_type: TileType = TileType.MVT) -> Header:
-    """Write (tile_id, tile) as one file; `compressed` tiles are taken as they are. Empty tiles are left out, repeated ids are an error."""
+def _head(entries: list[Entry], counts: dict[str, int], metadata: dict, bounds: tuple[float, float, float, float], center_zoom: int | None, internal: Compression, compression: Compression, tile_type: TileType) -> tuple[Header, bytes]:
+    """An archive's header, and all that stands before its tiles. The centre's zoom is moved into the range that was written."""
+    root, leaves = build_directories(entries, internal)
+    described = compress(json.dumps(metadata, ensure_ascii=False, separators=(",", ":")).encode(), internal)
+    low, high = [zoom_of(e) for e in (entries[0][0], entries[-1][0] + entries[-1][3] - 1)] if entries else [0, 0]
+    center = min(max(low if center_zoom is None else center_zoom, low), high)
+    metadata_at = HEADER_BYTES + len(root)
+    leaves_at = metadata_at + len(described)
+    data_at = leaves_at + len(leaves)
+    west, south, east, north = (float(v) for v in bounds)
+    header = Header(HEADER_BYTES, len(root), metadata_at, len(described), leaves_at, len(leaves), data_at, counts["tile_bytes"], counts["addressed"], counts["entries"], counts["contents"], True, internal, compression, tile_type, low, high, west, south, east, north, center, (west + east) / 2, (south + north) / 2)
+    return header, header.to_bytes() + root + described + leaves
+
+
+def hilbert_id(z: int, x: int, y: int) -> int:
+    """The tile's id: the tiles of all lower zooms, then its place on the zoom's Hilbert curve."""
+    if not 0 <= z <= MAX_ZOOM or not (0 <= x < 1 << z and 0 <= y < 1 << z):
+        raise ValueError(f"no such tile: {z}/{x}/{y}")
+    out = (4**z - 1) // 3
+    for bit in reversed(range(z)):
+        side = 1 << bit
+        right, lower = bool(x & side), bool(y & side)
+        out += ((3 if right else 0) ^ (1 if lower else 0)) * side * side
+        if not lower:
+            if right:
+                x, y = ~x, ~y
+            x, y = y, x
+    return out
+
+
+class ArchiveWriter:
+    """Tiles one at a time, in rising order of id, into an archive's bytes: for what fits the driver. `write_archive` is for tables of tiles."""
+
+    def __init__(self, metadata: dict, bounds: tuple[float, float, float, float] = (-180.0, -85.0, 180.0, 85.0), center_zoom: int | None = None, internal: Compression = Compression.GZIP, compression: Compression = Compression.GZIP, tile_type: TileType = TileType.MVT):
+        self._options = (metadata, bounds, center_zoom, internal, compression, tile_type)
+        self._compression = compression
+        self._last = -1
+        self._places: dict[bytes, int] = {}
+        self._entries: list[Entry] = []
+        self.addressed = self.data_length = 0
+
+    @property
+    def entries(self) -> int:
+        return len(self._entries)
+
+    @property
+    def contents(self) -> int:
+        return len(self._places)
+
+    def add(self, tile_id: int, tile: bytes) -> None:
+        """Compress a tile and add it; an empty one is left out."""
+        if tile:
+            self.add_encoded(tile_id, compress(tile, self._compression))
+
+    def add_zxy(self, z: int, x: int, y: int, tile: bytes) -> None:
+        self.add(hilbert_id(z, x, y), tile)
+
+    def add_encoded(self, tile_id: int, blob: bytes) -> None:
+        """Add a tile that is compressed already."""
+        if not blob:
+            return
+        if tile_id <= self._last:
+            raise FormatError(f"tile ids must rise: {tile_id} came after {self._last}")
+        zoom_of(tile_id)
+        if blob not in self._places:
+            self._places[blob] = self.data_length
+            self.data_length += len(blob)
+        at = self._places[blob]
+        first, offset, length, run = self._entries[-1] if self._entries else (-1, -1, 0, 0)
+        if offset == at and first + run == tile_id:
+            self._entries[-1] = (first, offset, length, run + 1)
+        else:
+            self._entries.append((tile_id, at, len(blob), 1))
+        self._last = tile_id
+        self.addressed += 1
+
+    def build(self) -> bytes:
+        counts = {"tile_bytes": self.data_length, "addressed": self.addressed, "entries": self.entries, "contents": self.contents}
+        return _head(self._entries, counts, *self._options)[1] + b"".join(self._places)
+
+
+def write_archive(tiles: DataFrame, path: str, metadata: dict, bounds: tuple[float, float, float, float] = (-180.0, -85.0, 180.0, 85.0), internal: Compression = Compression.GZIP, compression: Compression = Compression.GZIP, compressed: bool = False, tile_type: TileType = TileType.MVT, center_zoom: int | None = None, on_zoom: Callable[[int], None] | None = None) -> Header:
+    """Write (tile_id, tile) as one file; `compressed` tiles are taken as they are. Empty tiles are left out, repeated ids are an error. `on_zoom` hears the zoom of each content before it is written."""
     blob = F.col("tile") if compressed or compression == Compression.NONE else gzip(F.col("tile"))
     if not compressed and compression not in (Compression.NONE, Compression.GZIP):
         raise ValueError(f"{compression.name.lower()} is not written here")
@@ -213,18 +295,13 @@ def write_archive(tiles: DataFrame, path: str, metadata: dict, bounds: tuple[flo
     found = archive.entries(kept)
     entries = sorted(tuple(r) for r in found.select("tile_id", "offset", "length", "run_length").collect())  # the directory itself
     n = archive.archive_counts(found).first()
-    root, leaves = build_directories(entries, internal)
-    described = compress(json.dumps(metadata, ensure_ascii=False, separators=(",", ":")).encode(), internal)
-    zooms = [zoom_of(e) for e in (entries[0][0], entries[-1][0] + entries[-1][3] - 1)] if entries else [0, 0]
-    metadata_at = HEADER_BYTES + len(root)
-    leaves_at = metadata_at + len(described)
-    data_at = leaves_at + len(leaves)
-    west, south, east, north = (float(v) for v in bounds)
-    header = Header(HEADER_BYTES, len(root), metadata_at, len(described), leaves_at, len(leaves), data_at, n["tile_bytes"], n["addressed"], n["entries"], n["contents"], True, internal, compression, tile_type, zooms[0], zooms[1], west, south, east, north, zooms[0], (west + east) / 2, (south + north) / 2)
+    header, head = _head(entries, n.asDict(), metadata, bounds, center_zoom, internal, compression, tile_type)
     first = archive.distinct_blobs(kept).select(F.col("first_id").alias("tile_id"))
     with open(path, "wb") as f:
-        f.write(header.to_bytes() + root + described + leaves)
-        for row in kept.join(first, "tile_id", "left_semi").orderBy("tile_id").select("blob").toLocalIterator(prefetchPartitions=True):
+        f.write(head)
+        for row in kept.join(first, "tile_id", "left_semi").orderBy("tile_id").select("tile_id", "blob").toLocalIterator(prefetchPartitions=True):
+            if on_zoom:
+                on_zoom(zoom_of(row["tile_id"]))
             f.write(row["blob"])
     return header
 
