@@ -131,18 +131,22 @@ def clip_segment(a: Column, b: Column, low: int, high: int) -> Column:
 def clip_line(line: Column, low: int, high: int) -> Column:
     """The runs of a line inside the square, an array of arrays."""
     segments = F.transform(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), lambda p, i: F.struct(clip_segment(p, F.get(line, i + 1), low, high).alias("cut"), F.get(line, i + 1).alias("to")))
-    start = F.struct(F.array().cast(f"array<{NO_POINTS}>").alias("runs"), F.lit(False).alias("open"))
 
-    def step(s: Column, seg: Column) -> Column:
-        a, b, runs = seg["cut"]["a"], seg["cut"]["b"], s["runs"]
-        last = F.get(runs, F.size(runs) - 1)
-        goes_on = s["open"] & (F.get(last, F.size(last) - 1) == a)
-        longer = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.concat(last, F.array(b))))
-        grown = F.when(goes_on, longer).otherwise(F.concat(runs, F.array(F.array(a, b))))
-        missed = seg["cut"].isNull()
-        return F.struct(F.when(missed, runs).otherwise(grown).alias("runs"), F.when(missed, F.lit(False)).otherwise(b == seg["to"]).alias("open"))
+    def goes_on(cuts: Column, i: Column) -> Column:
+        """Whether segment i continues the one before it: that one was not cut at its end."""
+        before = F.get(cuts, i - 1)
+        return (i > 0) & before["cut"].isNotNull() & (before["cut"]["b"] == before["to"]) & (before["cut"]["b"] == F.get(cuts, i)["cut"]["a"])
 
-    return F.aggregate(segments, start, step, lambda s: s["runs"])
+    def begins(cuts: Column) -> Column:
+        places = F.transform(cuts, lambda c, i: F.when(c["cut"].isNotNull() & ~F.coalesce(goes_on(cuts, i), F.lit(False)), i))
+        return F.filter(places, lambda i: i.isNotNull())
+
+    def run(cuts: Column, first: Column, after: Column) -> Column:
+        own = F.filter(F.slice(cuts, first + 1, after - first), lambda c: c["cut"].isNotNull())
+        return F.concat(F.array(F.get(cuts, first)["cut"]["a"]), F.transform(own, lambda c: c["cut"]["b"]))
+
+    runs = lambda cuts, starts: F.transform(starts, lambda first, k: run(cuts, first, F.coalesce(F.get(starts, k + 1), F.size(cuts))))
+    return let(segments, lambda cuts: let(begins(cuts), lambda starts: runs(cuts, starts)))
 
 
 def owner_of(outers: Column, hole: Column) -> Column:
@@ -204,14 +208,14 @@ def encode_lines(parts: Column, close: bool) -> Column:
         return F.when((n > 1) & (F.get(p, F.lit(0)) == F.get(p, n - 1)), F.slice(p, 1, F.greatest(n - 1, F.lit(1)))).otherwise(p) if close else p
 
     drawn = F.filter(F.transform(parts, ended), lambda p: F.size(p) >= least)
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), _origin().alias("at"))
 
-    def step(s: Column, p: Column) -> Column:
+    def encoded(all_parts: Column, p: Column, i: Column) -> Column:
         n = F.size(p)
-        first, rest = F.slice(p, 1, 1), F.slice(p, 2, F.greatest(n - 1, F.lit(1)))
-        pieces = [s["out"], F.array(command(MOVE_TO, F.lit(1))), _deltas(first, s["at"]), F.array(command(LINE_TO, n - 1)), _deltas(rest, F.get(p, F.lit(0)))]
+        before = F.get(all_parts, i - 1)
+        cursor = F.when(i == 0, _origin()).otherwise(F.get(before, F.size(before) - 1))
+        pieces = [F.array(command(MOVE_TO, F.lit(1))), _deltas(F.slice(p, 1, 1), cursor), F.array(command(LINE_TO, n - 1)), _deltas(F.slice(p, 2, F.greatest(n - 1, F.lit(1))), F.get(p, F.lit(0)))]
         if close:
             pieces.append(F.array(command(CLOSE_PATH, F.lit(1))))
-        return F.struct(F.concat(*pieces).alias("out"), F.get(p, n - 1).alias("at"))
+        return F.concat(*pieces)
 
-    return F.aggregate(drawn, start, step, lambda s: s["out"])
+    return let(drawn, lambda all_parts: F.flatten(F.transform(all_parts, lambda p, i: encoded(all_parts, p, i))))
