@@ -811,12 +811,12 @@ def metadata_json(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def pmtiles_archive(spark: SparkSession, sf: str) -> DataFrame:
     """An archive of the payloads, written and read back: its directory."""
-    import tempfile
-
     from .sources import pmtiles
+    from .sources.files import open_for
+    from .storage import scratch_path
 
-    with tempfile.TemporaryDirectory() as d:
-        pmtiles.write_archive(blobs(spark, sf).withColumnRenamed("blob", "tile"), f"{d}/a.pmtiles", {"name": "payloads"})
-        with open(f"{d}/a.pmtiles", "rb") as f:
-            _, _, entries = pmtiles.read_archive(f.read())
+    path = scratch_path(spark, "payloads") + ".pmtiles"
+    pmtiles.write_archive(blobs(spark, sf).withColumnRenamed("blob", "tile"), path, {"name": "payloads"})
+    with open_for(path) as f:
+        _, _, entries = pmtiles.read_archive(f.read())
     return spark.createDataFrame(entries, "tile_id bigint, offset bigint, length bigint, run_length bigint")

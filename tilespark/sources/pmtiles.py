@@ -21,6 +21,7 @@ from ..functions.hilbert import MAX_ZOOM
 from ..operators import archive
 from ..operators.kernels import gzip, gzipped, varint
 from ..storage import stored
+from .files import open_for
 
 # ---- fixed values of the format ----
 MAGIC = b"PMTiles\x03"
@@ -297,7 +298,7 @@ def write_archive(tiles: DataFrame, path: str, metadata: dict, bounds: tuple[flo
     n = archive.archive_counts(found).first()
     header, head = _head(entries, n.asDict(), metadata, bounds, center_zoom, internal, compression, tile_type)
     first = archive.distinct_blobs(kept).select(F.col("first_id").alias("tile_id"))
-    with open(path, "wb") as f:
+    with open_for(path, writing=True) as f:
         f.write(head)
         for row in kept.join(first, "tile_id", "left_semi").orderBy("tile_id").select("tile_id", "blob").toLocalIterator(prefetchPartitions=True):
             if on_zoom:
