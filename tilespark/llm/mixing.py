@@ -80,7 +80,7 @@ def copies(rate: Column, seed: int, doc_id: str = "doc_id") -> Column:
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17) -> DataFrame:
-    """docs with size, source_size, target and n_copies beside its columns."""
+    """docs with size, source_size, target and n_copies beside its other columns; `mix` keeps columns of docs that have these names."""
     sized = docs.withColumn("size", size_of())
     targets = source_targets(docs.select("source", size_of().alias("size")), weights, max_repeats)
     targets = materialize(targets.withColumnRenamed("source", "_source"), "mix-targets")

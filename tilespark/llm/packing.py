@@ -33,8 +33,8 @@ from .common import materialize, ranked
 from .tokens import END_ID, encoder
 
 CAPACITY = 2048
-#: Slices of a length's pieces for ranking.
-SLICES = 256
+#: Slices of a length's pieces for ranking: at least so many, and one more for each so many pieces.
+SLICES, ROWS_PER_SLICE = 256, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -220,7 +220,8 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_id
     pieces = materialize(pieces if with_ids else pieces.drop("ids"), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     order = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
-    numbered = ranked(pieces, ["length"], order, SLICES, ["doc_id", "piece"]).select(*pieces.columns, "rank")
+    slices = max(SLICES, sum(counts.values()) // ROWS_PER_SLICE)
+    numbered = ranked(pieces, ["length"], order, slices, ["doc_id", "piece"]).select(*pieces.columns, "rank")
     fields = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)
     return numbered.mapInArrow(_place(plan(counts, capacity)), f"{fields}, sequence_id long, offset long")
 

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import materialize, ranked
 
 SHARDS = 24
-#: Slices that a group of copies is counted in, and the most units that it becomes.
-SLICES = 256
+#: Slices that a group of copies is counted in, and the most units that it becomes: at least so many, and one more for each so many documents.
+SLICES, ROWS_PER_SLICE = 256, 1 << 20
 #: A unit holds at most about this part of a shard.
 UNIT_PART = 1 / 32
 #: Buckets by priority in which a shard's quota is granted to groups of no more than a unit; larger ones are granted one by one.
@@ -138,7 +138,7 @@ def _propagate(starts: DataFrame, n_docs: int, shards: int, rounds: int | None)
     return state.where("target is not null").select("unit", "target")
 
 
-def _sizes_even(placed: DataFrame, n_docs: int, shards: int) -> DataFrame:
+def _sizes_even(placed: DataFrame, n_docs: int, shards: int, n_slices: int) -> DataFrame:
     """Equal shards from rows with shard and linked: each document's last shard and slot."""
     quota = {s: n_docs // shards + (s < n_docs % shards) for s in range(shards)}
     counts = {s: 0 for s in range(shards)}
@@ -146,7 +146,7 @@ def _sizes_even(placed: DataFrame, n_docs: int, shards: int) -> DataFrame:
     for r in placed.groupBy("shard", "linked").count().collect():  # at most 2 x shards rows
         counts[r["shard"]] += r["count"]
         linked[r["shard"]] += r["count"] * r["linked"]
-    numbered = ranked(placed, ["shard", "linked"], [F.col(c) for c in ("doc_id", "text_crc32", "size", "hub")], SLICES, ["doc_id", "text_crc32", "size"])
+    numbered = ranked(placed, ["shard", "linked"], [F.col(c) for c in ("doc_id", "text_crc32", "size", "hub")], n_slices, ["doc_id", "text_crc32", "size"])
     as_map = lambda d: F.create_map(*(F.lit(x).cast("long" if i % 2 else "int") for p in d.items() for i, x in enumerate(p)))
     at = lambda d, key: F.element_at(as_map(d), key)
     shard = F.col("shard")
@@ -175,13 +175,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None =
     """A row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: this law has none)."""
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = table.mapInArrow(_digests, "doc_id long, size long, text_crc32 long, hub binary")
-    rows = rows.withColumn("row_id", F.monotonically_increasing_id())
-    rows = materialize(rows.withColumn("slice", _spread(F.xxhash64("row_id"), SLICES)).withColumn("start", _spread(F.xxhash64("row_id", F.lit(1)), shards)), "shard-rows")
+    rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "shard-rows")
     n_docs = rows.count()
+    n_slices = max(SLICES, n_docs // ROWS_PER_SLICE)
+    rows = rows.withColumn("slice", _spread(F.xxhash64("row_id"), n_slices)).withColumn("start", _spread(F.xxhash64("row_id", F.lit(1)), shards))
     slices = rows.groupBy("hub", "slice", "start").agg(F.count(F.lit(1)).alias("n"))
     groups = rows.groupBy("hub", "slice").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.sum("n").alias("group_size")).where("group_size > 1")
     most = max(1.0, n_docs / shards * UNIT_PART)
-    n_units = F.least(F.lit(SLICES), F.ceil(F.col("group_size") / F.lit(most))).cast("int")
+    n_units = F.least(F.lit(n_slices), F.ceil(F.col("group_size") / F.lit(most))).cast("int")
     groups = materialize(groups.select("hub", n_units.alias("units")), "shard-groups")
     unit = F.xxhash64("hub", F.pmod(F.col("slice"), F.col("units"))).alias("unit")
     units = slices.join(groups, "hub").select("hub", unit, F.col("start").alias("shard"), "n").groupBy("hub", "unit", "shard").agg(F.sum("n").alias("n"))
@@ -192,7 +193,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None =
     moves = keys.join(targets, "unit", "left").select("hub", "slice", F.lit(1).alias("linked"), "target")
     placed = rows.join(moves, ["hub", "slice"], "left")
     placed = placed.select("doc_id", "size", "text_crc32", "hub", F.coalesce("target", "start").alias("shard"), F.coalesce("linked", F.lit(0)).alias("linked"))
-    out = _sizes_even(materialize(placed, "shard-placed"), n_docs, shards)
+    out = _sizes_even(materialize(placed, "shard-placed"), n_docs, shards, n_slices)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.hex("hub").alias("text_sha256"))
 
 
