@@ -31,6 +31,16 @@ def running_sum(df: DataFrame, value: str, order: str, name: str, bits: int = RA
     return rows.join(carried, "_range").withColumn(name, (F.col("_within") + F.col("_carried")).cast("long")).drop("_range", "_within", "_carried")
 
 
+def with_previous(df: DataFrame, columns: list[str], order: str, bits: int = RANGE_BITS) -> DataFrame:
+    """Add `previous`, a struct of these columns of the row before by `order`: within ranges of the order, and for a range's first row by one row per range."""
+    value = F.struct(*columns)
+    df = df.withColumn("_range", F.shiftright(order, bits))
+    last = df.groupBy("_range").agg(F.max_by(value, order).alias("_last"))
+    carried = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carried"))
+    rows = df.withColumn("_before", F.lag(value).over(Window.partitionBy("_range").orderBy(order)))
+    return rows.join(carried, "_range").withColumn("previous", F.coalesce("_before", "_carried")).drop("_range", "_before", "_carried")
+
+
 def blob_offsets(tiles: DataFrame) -> DataFrame:
     """(digest, first_id, length, offset): contents laid out by first appearance."""
     return running_sum(distinct_blobs(tiles), "length", "first_id", "offset")
@@ -52,16 +62,16 @@ def entries(tiles: DataFrame, bits: int = RANGE_BITS) -> DataFrame:
 
 def directory_columns(found: DataFrame) -> DataFrame:
     """Entries as a directory stores them: (tile_id, id_delta, run_length, length, stored_offset), 0 where an entry follows its predecessor's bytes."""
-    w = Window.orderBy("tile_id")
-    follows = F.col("offset") == F.lag("offset").over(w) + F.lag("length").over(w)
+    rows = with_previous(found, ["tile_id", "offset", "length"], "tile_id")
+    follows = F.col("offset") == F.col("previous.offset") + F.col("previous.length")
     stored = F.when(F.coalesce(follows, F.lit(False)), F.lit(0)).otherwise(F.col("offset") + 1)
-    return found.select("tile_id", (F.col("tile_id") - F.lag("tile_id", 1, 0).over(w)).alias("id_delta"), "run_length", "length", stored.cast("long").alias("stored_offset"))
+    return rows.select("tile_id", (F.col("tile_id") - F.coalesce("previous.tile_id", F.lit(0))).alias("id_delta"), "run_length", "length", stored.cast("long").alias("stored_offset"))
 
 
 def leaf_of(found: DataFrame, leaf_size: int) -> DataFrame:
     """Entries with the number of the leaf directory they are in."""
-    nth = F.row_number().over(Window.orderBy("tile_id")) - 1
-    return found.withColumn("leaf", F.floor(nth / leaf_size).cast("long"))
+    numbered = running_sum(found.withColumn("_one", F.lit(1)), "_one", "tile_id", "_nth")
+    return numbered.withColumn("leaf", F.floor(F.col("_nth") / leaf_size).cast("long")).drop("_one", "_nth")
 
 
 def archive_counts(found: DataFrame) -> DataFrame:
