@@ -770,9 +770,13 @@ def mvt_encode(spark: SparkSession, sf: str) -> DataFrame:
     return tiles.select("z", "tile_id", "features", F.length("tile").cast("long").alias("bytes"), F.sha2("tile", 256).alias("sha256"))
 
 
-@query()
+@query(f"{X.text('fx_blobs')} SELECT tile_id, '1F8B08' AS magic, CAST(length(payload) AS BIGINT) AS bytes_before FROM fx_blobs")
 def gzip_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    return blobs(spark, sf).select("tile_id", F.length(K.gzip(F.col("blob"))).cast("long").alias("bytes"))
+    """What the compressed tiles say of themselves: their first bytes, and the length before, from their last four."""
+    packed = blobs(spark, sf).select("tile_id", K.gzip(F.col("blob")).alias("g"))
+    last = F.reverse(F.sequence(F.lit(0), F.lit(3)))
+    before = F.conv(F.array_join(F.transform(last, lambda i: F.hex(F.substring(F.col("g"), F.length("g") - 3 + i, F.lit(1)))), ""), 16, 10)
+    return packed.select("tile_id", F.hex(F.substring("g", 1, 3)).alias("magic"), before.cast("long").alias("bytes_before"))
 
 
 _Q_WANTED = f"wanted AS (SELECT r.id * 4 + k AS node_id FROM fx_rings r, range(4) AS ks(k) WHERE r.nature IN ('water', 'bay', 'strait') OR r.id IN ({_Q_KEPT_MEMBERS}))"
@@ -808,15 +812,15 @@ def metadata_json(spark: SparkSession, sf: str) -> DataFrame:
     return text.select(field("name").alias("name"), field("minzoom").cast("long").alias("minzoom"), field("maxzoom").cast("long").alias("maxzoom"), field("bounds").alias("bounds"), layers.alias("layers"))
 
 
-@query()
+@query(f'{_Q_ENTRIES} SELECT tile_id, "offset", length, run_length FROM entries')
 def pmtiles_archive(spark: SparkSession, sf: str) -> DataFrame:
-    """An archive of the payloads, written and read back: its directory."""
+    """An archive of the payloads as they are, written and read back: its directory."""
     from .sources import pmtiles
     from .sources.files import open_for
     from .storage import scratch_path
 
     path = scratch_path(spark, "payloads") + ".pmtiles"
-    pmtiles.write_archive(blobs(spark, sf).withColumnRenamed("blob", "tile"), path, {"name": "payloads"})
+    pmtiles.write_archive(blobs(spark, sf).withColumnRenamed("blob", "tile"), path, {"name": "payloads"}, compression=pmtiles.Compression.NONE)
     with open_for(path) as f:
         _, _, entries = pmtiles.read_archive(f.read())
     return spark.createDataFrame(entries, "tile_id bigint, offset bigint, length bigint, run_length bigint")
