@@ -64,6 +64,13 @@ def tile_at(unit: Column, z: Column) -> Column:
     return F.least(F.greatest(F.floor(unit * n), F.lit(0)), n - 1)
 
 
+def tile_edges(z: Column, x: Column, y: Column) -> Column:
+    """A struct of a tile's degrees: west, south, east, north."""
+    n = tiles_across(z)
+    at = lambda f, v: f(v.cast("double") / n)
+    return F.struct(at(lon_of, x).alias("west"), at(lat_of, y + 1).alias("south"), at(lon_of, x + 1).alias("east"), at(lat_of, y).alias("north"))
+
+
 def world(unit: Column, z: Column, extent: int = 4096) -> Column:
     """A unit coordinate on the integer grid of a zoom: 2^z tiles of `extent` steps."""
     return round_away(unit * tiles_across(z) * F.lit(extent))

@@ -31,6 +31,13 @@ class Area:
         at = lambda v: S.tile_at(v, z)
         return at(S.x_of(F.lit(self.min_lon))), at(S.y_of(F.lit(self.max_lat))), at(S.x_of(F.lit(self.max_lon))), at(S.y_of(F.lit(self.min_lat)))
 
+    def tiles(self, zooms: DataFrame) -> DataFrame:
+        """(z, x, y, tile_id) of every tile that the area touches, from rows (z)."""
+        z = F.col("z")
+        x0, y0, x1, y1 = self.tile_range(z)
+        rows = zooms.withColumn("x", F.explode(F.sequence(x0, x1))).withColumn("y", F.explode(F.sequence(y0, y1)))
+        return rows.select("z", "x", "y", tile_id(z, F.col("x"), F.col("y")).alias("tile_id"))
+
 
 def expand_zooms(features: DataFrame, low: int, high: int) -> DataFrame:
     """A row for each zoom of low..high that shows the feature."""

@@ -137,9 +137,8 @@ SELECT z, x, y, round(x::DOUBLE / {q_n('z')} * 360 - 180, 9) AS west, round((x +
 def tile_bounds(spark: SparkSession, sf: str) -> DataFrame:
     z = F.col("z")
     u = zooms(unit(nodes(spark, sf))).select("z", S.tile_at(F.col("ux"), z).alias("x"), S.tile_at(F.col("uy"), z).alias("y")).distinct()
-    n = S.tiles_across(z)
-    edge = lambda f, c, k, name: F.round(f((F.col(c) + k).cast("double") / n), 9).alias(name)
-    return u.select("z", "x", "y", edge(S.lon_of, "x", 0, "west"), edge(S.lon_of, "x", 1, "east"), edge(S.lat_of, "y", 1, "south"), edge(S.lat_of, "y", 0, "north"))
+    edges = u.withColumn("b", S.tile_edges(z, F.col("x"), F.col("y")))
+    return edges.select("z", "x", "y", *(F.round(f"b.{e}", 9).alias(e) for e in ("west", "east", "south", "north")))
 
 
 _A = X.AREA
@@ -150,10 +149,7 @@ _A = X.AREA
 t AS (SELECT z, x, unnest(generate_series(y0, y1)) AS y FROM (SELECT *, unnest(generate_series(x0, x1)) AS x FROM zr)), {q_hilbert('t')}
 SELECT z, x, y, tile_id FROM hilbert""")
 def coverage_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    z = F.col("z")
-    x0, y0, x1, y1 = AREA.tile_range(z)
-    rows = zooms(spark.range(1)).withColumn("x", F.explode(F.sequence(x0, x1))).withColumn("y", F.explode(F.sequence(y0, y1)))
-    return rows.select("z", "x", "y", H.tile_id(z, F.col("x"), F.col("y")).alias("tile_id")).orderBy("tile_id")
+    return AREA.tiles(zooms(spark.range(1)).select("z")).orderBy("tile_id")
 
 
 @query(f"""{X.text('fx_nodes')}, w AS (SELECT id, z, {q_world(q_x('lon'), 'z')} AS wx, {q_world(q_y('lat'), 'z')} AS wy, {q_tile(q_x('lon'), 'z')} AS tx,
