@@ -143,8 +143,47 @@ WITH rows AS (
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM ranked
 """
 
+_COMPONENTS = """
+reached(id, other) AS (
+  SELECT a, a FROM links UNION SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.other
+), components AS (
+  SELECT id, min(other) AS component FROM reached GROUP BY id
+), degrees AS (
+  SELECT a AS id, count(*) AS n FROM links GROUP BY a
+)"""
+
+_EMBEDDING_SQL = f"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), {_COMPONENTS}
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(c.component, e.vec_id) AS component_id, coalesce(c.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN degrees d ON d.id = e.vec_id LEFT JOIN components c ON c.id = e.vec_id
+"""
+
+_NGRAM_SQL = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM worded WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT c.a, c.b FROM common c JOIN sizes s ON s.doc_id = c.a JOIN sizes t ON t.doc_id = c.b WHERE 5 * c.n >= 4 * (s.n + t.n - c.n)
+), {_COMPONENTS}
+SELECT e.doc_id, coalesce(c.component, e.doc_id) AS class_id, coalesce(d.n, 0) AS n_links, coalesce(c.component, e.doc_id) = e.doc_id AS kept
+FROM documents e LEFT JOIN degrees d ON d.id = e.doc_id LEFT JOIN components c ON c.id = e.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": _EMBEDDING_SQL,
     "op4_mixing": _MIXING_SQL,
+    "op5_ngram_join": _NGRAM_SQL,
     "op8_chat_format": _CHAT_SQL,
     "op10_exact_dedup": _EXACT_SQL,
 }
