@@ -50,7 +50,7 @@ BROADCAST_CANDIDATES = 1 << 17
 #: Rows of a trie that one task sorts, about.
 ROWS_PER_TASK = 1 << 20
 #: Sets of a node or group that one task compares with each other; beyond it blocks of about twice the root of their number.
-NODE_BLOCK, GROUP_BLOCK = 256, 64
+NODE_BLOCK, GROUP_BLOCK = 1024, 64
 #: Bytes of text that are hashed at once.
 SEGMENT = 1 << 20
 #: Shingles that are columns of an incidence matrix at once.
@@ -248,20 +248,24 @@ def _across_tasks(found: DataFrame, forest: Forest) -> DataFrame:
 
 
 def _likely(least: float):
-    """Pairs of a node's block whose signatures agree in enough digits, as a spanning forest (a, b)."""
+    """Pairs of a node's block whose signatures agree in enough digits, as a spanning forest (a, b).
+
+    Two blocks that meet only report what joins the groups that each has in
+    itself, since those are reported where it meets itself.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in runs(batches, ["node", "lo", "hi"]):
-            reps, own = block["rep"].to_numpy(), block["block"].to_numpy()
-            signatures = np.frombuffer(b"".join(block["signature"].to_pylist()), "<u2").reshape(len(reps), -1)
-            links = np.zeros((len(reps), len(reps)), bool)
-            z = np.flatnonzero(own == block["hi"][0].as_py())
-            for i in np.flatnonzero(own == block["lo"][0].as_py()).tolist():
-                links[i, z] = (signatures[z] == signatures[i]).mean(axis=1) >= least
-            links |= links.T
+        for found in runs(batches, ["node", "lo", "hi"]):
+            reps, block = found["rep"].to_numpy(), found["block"].to_numpy()
+            # The low byte of each digit: digits that differ agree in it once in 256 times, which only adds pairs.
+            digits = np.frombuffer(b"".join(found["signature"].to_pylist()), np.uint8).reshape(len(reps), -1)
+            digits = np.ascontiguousarray(digits[:, ::2])
+            links = np.stack([np.count_nonzero(digits == d, axis=1) for d in digits]) >= least * digits.shape[1]
+            own = block[:, None] == block[None, :]
+            known = reps if found["lo"][0] == found["hi"][0] else least_reached(reps, links & own)
             to = least_reached(reps, links)
-            some = to != reps
-            yield pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(to[some])], ["a", "b"])
+            edges = np.unique(np.stack([known, to], axis=1)[known != to], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     return compare
 
