@@ -224,7 +224,7 @@ def test_short_words_hash_alike_before_and_after_longer_ones():
 def test_embeddings_of_the_table(spark):
     """The query itself, whose labels have several cells each, against brute force."""
     rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "label", "embedding").collect()]
-    vectors = spark.createDataFrame([(i, 0, len(e), np.array(e, "<f8").tobytes(), 1) for i, _, e in rows if e], "rep long, label long, dim int, vector binary, copies long")
+    vectors = spark.createDataFrame([(i, 0, len(e), np.array(e, "<f4").tobytes(), 1) for i, _, e in rows if e], "rep long, label long, dim int, vector binary, copies long")
     cells = embedding_dedup._members(vectors, 0.2).groupBy("label").agg(F.countDistinct("c").alias("cells")).collect()
     assert min(r.cells for r in cells) > 1
     unit = {i: (label, np.array(e, float) / np.linalg.norm(e)) for i, label, e in rows if e and label is not None and all(x is not None and math.isfinite(x) for x in e) and any(e)}

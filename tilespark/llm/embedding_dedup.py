@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import connected_components, joined_by_size, least_reached, materialize, runs
 
@@ -58,40 +59,44 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = FIT_ROUNDS, seed
     return centres
 
 
-def _unit(values: np.ndarray) -> np.ndarray | None:
-    """The vector at length 1; None if it has none. Scaled by its largest component first, so that no square overflows or vanishes."""
-    if not len(values) or not np.isfinite(values).all():
-        return None
-    largest = np.abs(values).max()
-    if largest == 0:
-        return None
-    values = values / largest
-    return values / np.sqrt(values @ values)
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, dim, key, vector): key and vector are null where the vector links with nothing."""
-    for b in batches:
-        keys, vectors, dims = [], [], []
-        for label, raw in zip(b["label"].to_pylist(), b["embedding"]):
-            found = None
-            if label is not None and raw.is_valid and raw.values.null_count == 0:
-                values = raw.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                found = _unit(values)
-            vectors.append(None if found is None else found.astype("<f8").tobytes())
-            keys.append(None if found is None else hashlib.blake2b(values.astype("<f8").tobytes(), digest_size=16, salt=label.to_bytes(8, "little", signed=True)).digest())
-            dims.append(0 if found is None else len(found))
-        arrays = [b["vec_id"], b["label"], pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "label", "dim", "key", "vector"])
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Rows at length 1 in double precision. Scaled by the largest component first, so that no square overflows or vanishes."""
+    rows = rows.astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+
+def _read(width: int):
+    """(vec_id, label, dim, key, vector) with components of so many bytes: key and vector are null where the vector links with nothing."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, vectors, dims = [], [], []
+            for label, raw in zip(b["label"].to_pylist(), b["embedding"]):
+                key = vector = None
+                if label is not None and raw.is_valid and raw.values.null_count == 0:
+                    # Adding nothing makes one zero of both.
+                    values = raw.values.to_numpy(zero_copy_only=False) + 0
+                    if len(values) and np.isfinite(values).all() and values.any():
+                        vector = values.astype(f"<f{width}").tobytes()
+                        key = hashlib.blake2b(vector, digest_size=16, salt=label.to_bytes(8, "little", signed=True)).digest()
+                vectors.append(vector)
+                keys.append(key)
+                dims.append(len(vector) // width if vector else 0)
+            arrays = [b["vec_id"], b["label"], pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "label", "dim", "key", "vector"])
+
+    return read
+
+
+def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The vectors at length 1."""
     vectors = column.to_pylist()
-    return np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
+    return _units(np.frombuffer(b"".join(vectors), f"<f{len(vectors[0]) // dim}").reshape(len(vectors), dim))
 
 
 def _fit(table: pa.Table) -> pa.Table:
-    centres = spherical_kmeans(_matrix(table["vector"]), table["cells"][0].as_py())
+    centres = spherical_kmeans(_matrix(table["vector"], table["dim"][0].as_py()), table["cells"][0].as_py())
     return pa.table({"label": table["label"][:1], "dim": table["dim"][:1], "centres": pa.array([centres.astype("<f8").tobytes()])})
 
 
@@ -101,7 +106,7 @@ def _assign(slack: float):
     def assign(table: pa.Table, fitted: pa.Table) -> pa.Table:
         dim = table["dim"][0].as_py() if table.num_rows else 1
         centres = np.frombuffer(fitted["centres"][0].as_py(), "<f8").reshape(-1, dim) if fitted.num_rows else np.zeros((1, dim))
-        vectors = _matrix(table["vector"]) if table.num_rows else np.zeros((0, dim))
+        vectors = _matrix(table["vector"], dim) if table.num_rows else np.zeros((0, dim))
         at, cells = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
         for first in range(0, len(vectors), CHUNK):
             dots = vectors[first : first + CHUNK] @ centres.T
@@ -125,7 +130,7 @@ def _verify(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in runs(batches, ["label", "dim", "c", "d", "lo", "hi"]):
             block, side, reps, copies = (found[c].to_numpy() for c in ("block", "side", "rep", "copies"))
-            vectors = _matrix(found["vector"])
+            vectors = _matrix(found["vector"], found["dim"][0].as_py())
             a, z = np.flatnonzero(block == found["lo"][0].as_py()), np.flatnonzero(block == found["hi"][0].as_py())
             links = np.zeros((len(reps), len(reps)), bool)
             inside = found["c"][0] == found["d"][0]
@@ -164,8 +169,11 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.98, slack: float | No
     """A row per vector: vec_id, n_links, component_id, kept."""
     if slack is None:
         slack = 2 * float(np.sin(np.arccos(threshold) / 2))
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.mapInArrow(_read, "vec_id long, label long, dim int, key binary, vector binary")
+    # Single precision travels as it is, and is widened where it is used.
+    single = isinstance(table.schema["embedding"].dataType.elementType, FloatType)
+    vector = F.col("embedding").cast("array<float>" if single else "array<double>")
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), vector.alias("embedding"))
+    rows = rows.mapInArrow(_read(4 if single else 8), "vec_id long, label long, dim int, key binary, vector binary")
     rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "embedding-rows")
     known = rows.where("key is not null")
     distinct = known.groupBy("label", "dim", "key").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
