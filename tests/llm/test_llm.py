@@ -169,6 +169,24 @@ def test_tries_hold_the_nodes_of_every_depth(spark, monkeypatch, values):
             assert several(found) == several(expected)
 
 
+def test_nodes_of_tasks_of_one_row_are_joined_without_joins(spark, monkeypatch):
+    forest = ngram_join.Forest(trees=1, depth=8)
+    label = bytes(range(16))
+    # Each task holds one set of the same node, but for the last two: there the node ends at depth 5.
+    rows = [(0, k, label if k < 6 else label[:10] + b"other.") for k in range(8)]
+    frame = spark.createDataFrame([(t, k, bytearray(x)) for t, k, x in rows], "tree int, rep long, label binary").repartitionByRange(8, "rep")
+    names = [f"d{x}" for x in range(forest.shortest, 9)]
+    found = frame.mapInArrow(ngram_join._tries(forest), f"tree int, rep long, {', '.join(f'{x} long' for x in names)}, label binary, last boolean, part int")
+    found = common.materialize(found, "test-tries")
+    assert found.groupBy("part").count().where("count = 1").count() >= 6
+    plans = []
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or common.materialize(df, name))
+    out = ngram_join._across_tasks(found, forest)
+    plans.append(out._jdf.queryExecution().toString())
+    assert {r.rep: [r[x] for x in names] for r in out.collect()} == {k: [0] * 6 if k < 6 else [0] * 3 + [6] * 3 for k in range(8)}
+    assert not [p for p in plans if "Join" in p]
+
+
 def test_prefixes_are_shortened_until_the_recall(spark):
     """Six trees find most links of a group near the threshold only by shorter prefixes."""
     rng = random.Random(4)

@@ -216,13 +216,33 @@ def _grow(sets: DataFrame, forest: Forest) -> DataFrame:
     return _across_tasks(found, forest)
 
 
+def _renamed(names: list[str], first_tree: np.ndarray, own: np.ndarray, goes_on: np.ndarray):
+    """Nodes that a task's first row is in, by the first set that `goes_on` gives them: a row for each depth, a column for each task, -1 for none.
+
+    That row's set can be the first of another tree's node too, so the place is told by the tree as well.
+    """
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = b["part"].to_numpy()
+            begun = b["tree"].to_numpy() == first_tree[part]
+            arrays = [b["tree"], b["rep"]]
+            for name, firsts in zip(names, goes_on):
+                node, first = b[name].to_numpy(), firsts[part]
+                arrays.append(pa.array(np.where(begun & (node == own[part]) & (first >= 0), first, node)))
+            yield pa.RecordBatch.from_arrays(arrays, ["tree", "rep", *names])
+
+    return rename
+
+
 def _across_tasks(found: DataFrame, forest: Forest) -> DataFrame:
     """Give nodes that several tasks hold parts of the first set of their first part."""
     depths = range(forest.shortest, forest.depth + 1)
     names = [f"d{x}" for x in depths]
-    # Two rows of each task: the ends of its range.
+    # Two rows of each task, or its only one: the ends of its range.
     ends = found.where("label is not null").select("part", "last", "tree", "rep", "label", *names).orderBy("part", "last").collect()
-    renamed: list[tuple[int, int, int, int]] = []
+    tasks = ends[-1]["part"] + 1 if ends else 0
+    first_tree, own, goes_on = np.full(tasks, -1, np.int32), np.full(tasks, -1, np.int64), np.full((len(names), tasks), -1, np.int64)
     before: dict[int, int] = {}
     for a, z in zip(ends, ends[1:]):
         if a["part"] == z["part"]:
@@ -231,20 +251,14 @@ def _across_tasks(found: DataFrame, forest: Forest) -> DataFrame:
             continue
         last = {x: before.get(x, a[f"d{x}"]) for x in depths}
         before = {x: first for x, first in last.items() if a["tree"] == z["tree"] and a["label"][: 2 * x] == z["label"][: 2 * x]}
-        renamed += [(z["part"], x, z["rep"], first) for x, first in before.items()]
-    out = found.select("tree", "rep", "part", *names)
-    if renamed:
-        # The run of a task's first row: its first set can be another tree's first set too, so the place is told by the tree as well.
-        first_tree = F.broadcast(found.where("label is not null and not last").select("part", F.col("tree").alias("first_tree")))
-        out = out.join(first_tree, "part", "left")
-        # At most a row for each depth and task.
-        table = found.sparkSession.createDataFrame(renamed, "part int, depth int, own long, first long")
-        for x in depths:
-            mine = F.broadcast(table.where(F.col("depth") == x).select("part", F.col("own").alias(f"d{x}"), "first"))
-            out = out.join(mine, ["part", f"d{x}"], "left")
-            out = out.withColumn(f"d{x}", F.when(F.col("tree") == F.col("first_tree"), F.coalesce("first", f"d{x}")).otherwise(F.col(f"d{x}"))).drop("first")
-        out = materialize(out.select("tree", "rep", *names), "ngram-forest")
-    return out.select("tree", "rep", *names)
+        first_tree[z["part"]], own[z["part"]] = z["tree"], z["rep"]
+        for x, first in before.items():
+            goes_on[x - forest.shortest, z["part"]] = first
+    if (goes_on < 0).all():
+        return found.select("tree", "rep", *names)
+    # A few numbers for each task go along; no row meets another.
+    out = found.select("tree", "rep", "part", *names).mapInArrow(_renamed(names, first_tree, own, goes_on), f"tree int, rep long, {', '.join(f'{x} long' for x in names)}")
+    return materialize(out, "ngram-forest")
 
 
 def _likely(least: float):
