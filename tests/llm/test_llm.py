@@ -563,6 +563,19 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(frame.limit(0), model).count() == 0
 
 
+def test_labels_without_documents_do_not_use_up_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 60)
+    monkeypatch.setattr(toxicity, "OTHER_ROWS", 120)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeioklmnprst") for _ in range(8)) for _ in range(2000)]
+    rows = [(i, " ".join([*(rng.choice(words) for _ in range(40)), *["vilest"] * 3 * (i % 3 == 0)]), "a") for i in range(180)]
+    # A hundred labels for each one whose document is there.
+    labels = spark.range(18000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    model = toxicity.fit_toxicity(docs(spark, rows), labels)
+    found = {r.doc_id: r.rejected for r in toxicity.score_toxicity(docs(spark, rows), model).collect()}
+    assert found == {i: i % 3 == 0 for i in range(180)}
+
+
 def test_toxic_words_that_clean_texts_hold_once(spark):
     rng = random.Random(4)
     # So many words that no text looks like a near copy of another.
